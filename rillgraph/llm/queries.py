@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .groups import link_groups
-from .heavy import frequent_exact
+from .heavy import frequent, frequent_exact
+from .logs import parse_logs
+from .mixing import mix_documents
+from .packing import fill_report, pack_documents
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -20,7 +23,45 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return frequent_exact(_t(spark, d, "edge"), ["src", "dst"], 0.005).select("field", "vertex_id")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found}
+def p4_estimates(spark: SparkSession, d: str) -> DataFrame:
+    return frequent(_t(spark, d, "edge"), ["src", "dst"], 0.005)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return parse_logs(_t(spark, d, "agent_log")).select("line_id", "last_line_id", "ts_ms", "log_level", "component", "nv", "ne")
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(_t(spark, d, "documents"), _t(spark, d, "pack_size"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    packs = _t(spark, d, "pack_size")
+    return fill_report(pack_documents(_t(spark, d, "documents"), packs), packs)
+
+
+#: The portal's and the gazette's weights over the course, relative to their shares.
+CURRICULUM = {"court_portal": ((0.0, 1.6), (1.0, 0.4)), "gazette": ((0.0, 0.7), (0.5, 1.0), (1.0, 1.3))}
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix_documents(_t(spark, d, "documents"), _t(spark, d, "mix_target"), schedules=CURRICULUM)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_documents(_t(spark, d, "documents"), _t(spark, d, "mix_target"), schedules=CURRICULUM)[1]
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p4_found": p4_found,
+    "p4_estimates": p4_estimates,
+    "p5_found": p5_found,
+    "p6_pack": p6_pack,
+    "p6_fill": p6_fill,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+}
 
 SQL = {
     "p4_found": " UNION ALL ".join(
