@@ -36,7 +36,7 @@ SCHEDULE = ((1.0, 3), (0.7, 4), (0.5, 6), (0.4, 8))
 LOOK_FOR_HOT = 50_000
 #: Once no more links than this are left, the further levels run in one task: so few rows fit in any task's memory (16 bytes
 #: each, some ten copies at most), and jobs for ever smaller tables would only add latency.
-ONE_TASK = 300_000
+ONE_TASK = 30_000
 
 
 def _start(v: Column, level: int, rate: float, rounds: int, seed: int) -> Column:
