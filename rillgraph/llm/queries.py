@@ -9,6 +9,7 @@ from .heavy import frequent, frequent_exact
 from .logs import parse_logs
 from .mixing import mix_documents
 from .packing import fill_report, pack_documents
+from .subjects import subjects
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -52,6 +53,10 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_documents(_t(spark, d, "documents"), _t(spark, d, "mix_target"), schedules=CURRICULUM)[1]
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects(_t(spark, d, "documents"), _t(spark, d, "doc_label"), _t(spark, d, "subject_area")).select("doc_id", "subject_code")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p4_found": p4_found,
@@ -61,6 +66,7 @@ QUERIES = {
     "p6_fill": p6_fill,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
 }
 
 SQL = {
