@@ -187,7 +187,7 @@ def learn_lexicon(rulings: dict[int, list[list[str]]], labels: dict[int, set[str
         for (s, a), k in within.items():
             for f in of[s]:
                 with_area[f, a] += k
-        words = {f: a for (f, a), k in with_area.items() if k >= share * n[f] and k >= least}
+        words = {f: a for (f, a), k in with_area.items() if k >= share * (n[f] + 1) and k >= least}
     return words
 
 
@@ -201,15 +201,33 @@ def votes(address: str, headnote: str, paragraphs: list[list[str]], lexicon: Lex
     return {a: (min(most[a], 3), int(a in noted), int(a in named)) for a in {*most, *noted, *named}}
 
 
-def fit_votes(patterns: Iterable[tuple[tuple[int, ...], float]], rounds: int = 200) -> dict[tuple[int, ...], float]:
+#: Labels without two sentences to bear them out are wrong ones beyond this share.
+WRONG_LABELS = 0.01
+#: What is added to the counts of lexicon votes without and with the area: two sentences or more are what deals with an area.
+PRIOR = {0: (20.0, 0.5), 1: (2.0, 0.2), 2: (0.2, 2.0), 3: (0.2, 2.0)}
+
+
+def lexicon_votes(rulings: dict[int, list[list[str]]], labels: dict[int, set[str]], areas: list[str], lexicon: Lexicon) -> dict[int, list[float]]:
+    """Of each vote of the lexicon, how often labelled documents get it for areas that they do not and do deal with."""
+    table = {v: list(p) for v, p in PRIOR.items()}
+    for d, paragraphs in rulings.items():
+        got = votes("", "", paragraphs, lexicon)
+        for a in areas:
+            table[got.get(a, (0,))[0]][a in labels[d]] += 1
+    return table
+
+
+def fit_votes(patterns: Iterable[tuple[tuple[int, ...], float]], lexicon: dict[int, list[float]], rounds: int = 200) -> dict[tuple[int, ...], float]:
     """Probability that the area is dealt with, for each pattern of votes, from the patterns' counts.
 
-    Starts from trust in the lexicon's vote of two sentences, as the areas are
-    defined, and learns every function's probabilities of each vote where the
-    area is dealt with and where it is not.
+    The lexicon's accuracy is that on labelled documents, which anchors the two
+    classes; how frequent the classes are and how far the other functions can be
+    trusted is learned from all documents without their labels.
     """
     rows = [(p, n) for p, n in patterns if n > 0]
-    post = {p: 0.97 if p[0] >= 2 else 0.01 for p, _ in rows}
+    sums = [sum(t[y] for t in lexicon.values()) for y in (0, 1)]
+    trust = {v: (t[0] / sums[0], min(t[1] / sums[1], 1.0 if v >= 2 else WRONG_LABELS)) for v, t in lexicon.items()}
+    post = {p: trust[p[0]][1] / sum(trust[p[0]]) for p, _ in rows}
     for _ in range(rounds):
         tables: list[dict[int, list[float]]] = [defaultdict(lambda: [0.01, 0.01]) for _ in range(len(rows[0][0]) if rows else 0)]
         weight = [0.01, 0.01]
@@ -220,8 +238,8 @@ def fit_votes(patterns: Iterable[tuple[tuple[int, ...], float]], rounds: int = 2
                     tables[i][v][y] += n * q
         new = {}
         for p, _ in rows:
-            like = [weight[0], weight[1]]
-            for i, v in enumerate(p):
+            like = [weight[y] * trust[p[0]][y] for y in (0, 1)]
+            for i, v in enumerate(p[1:], 1):
                 for y in (0, 1):
                     like[y] *= tables[i][v][y] / weight[y]
             new[p] = like[1] / (like[0] + like[1])
@@ -286,9 +304,15 @@ def subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, most_labelled
     both = both.withColumn("pattern", F.col("pattern") + 16 * F.coalesce("more", F.lit(0))).select("doc_id", "area", "pattern")
     unpack = lambda p: (p % 4, p // 4 % 2, p // 8 % 2, p // 16)
     counts = Counter({unpack(r[0]): r[1] for r in both.groupBy("pattern").count().collect()})
-    # Pairs that no function sees have the pattern of all zeros.
-    counts[0, 0, 0, 0] += max(0, docs.filter("doc_id is not null").count() * len(codes) - sum(counts.values()))
-    probability = fit_votes(counts.items())
+    # Pairs that no function sees have but the source's vote.
+    n_docs = docs.filter("doc_id is not null").select(source.alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
+    n_seen = seen.groupBy("source", "area").agg(F.count(F.lit(1)).alias("c"))
+    every = n_docs.withColumn("area", F.explode(F.sequence(F.lit(0), F.lit(len(codes) - 1)))) if codes else n_docs.withColumn("area", F.lit(0)).limit(0)
+    rest = every.withColumnRenamed("source", "s").withColumnRenamed("area", "r").join(n_seen, F.col("s").eqNullSafe(F.col("source")) & (F.col("r") == F.col("area")), "left")
+    rest = rest.select("s", "r", (F.col("docs") - F.coalesce("c", F.lit(0))).alias("left")).join(more, F.col("s").eqNullSafe(F.col("src")) & (F.col("r") == F.col("ar")), "left")
+    for r in rest.groupBy(F.coalesce("more", F.lit(0)).alias("more")).agg(F.sum("left")).collect():
+        counts[0, 0, 0, r[0]] += max(0, r[1])
+    probability = fit_votes(counts.items(), lexicon_votes(rulings, labelled, codes, Lexicon(words)))
     table = [(v[0] + 4 * v[1] + 8 * v[2] + 16 * v[3], p) for v, p in probability.items()]
     decided = both.join(F.broadcast(spark.createDataFrame(table, "pattern int, probability double")), "pattern").filter(F.col("probability") > threshold)
     code = F.element_at(F.array(*map(F.lit, codes)), F.col("area") + 1) if codes else F.lit(None).cast("string")
