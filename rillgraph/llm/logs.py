@@ -45,7 +45,7 @@ TYPES = (
     (MS, r"(?<!\d)\d{13}(?!\d)"),
     (LVL, rf"(?i:\b(?:{_WORDS})\b)|\b[DIWE](?=/)"),
     (PROG, rf"(?i:\b(?:{'|'.join(PROGRAMS)})\b)"),
-    (NUM, r"\d+"),
+    (NUM, r"\d+(?:[,_]\d{3})*"),
 )
 _TIMES = f"{ISO}{DMY}{MON}{SEC}{MS}"
 _NUMBER = rf"(?:\s*[\[#.:/-]\s*{NUM})?"
@@ -83,16 +83,17 @@ def ngram_templates(texts: DataFrame, n_lines: int, share: float = SHARE) -> Dat
     """
     least = max(1 if n_lines < 100 else 2, share * n_lines)
     lines = texts.select(masked(F.col("text")).alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n"))
+    lines = Scratch(texts.sparkSession, "masked").table(lines.withColumn("id", F.xxhash64("m")))
     tokens = lines.withColumn("t", F.regexp_extract_all("m", F.lit(rf"[{ISO}-{NUM}]|[A-Za-z_]+|\s|[^\sA-Za-z_]"), F.lit(0)))
     grams = []
     for k in (2, 3):
         at = F.expr(f"transform(sequence(0, greatest(size(t) - {k}, 0)), i -> struct(i as i, array_join(slice(t, i + 1, {k}), '\x1f') as g))")
-        grams.append(tokens.filter(F.size("t") >= k).select("m", "n", F.lit(k).alias("k"), F.explode(at).alias("x")).select("m", "n", "k", "x.i", "x.g"))
+        grams.append(tokens.filter(F.size("t") >= k).select("id", "n", F.lit(k).alias("k"), F.explode(at).alias("x")).select("id", "n", "k", "x.i", "x.g"))
     grams = grams[0].unionByName(grams[1])
     dictionary = grams.groupBy("k", "g").agg(F.sum("n").alias("c")).filter(F.col("c") >= least)
-    firm = grams.join(dictionary, ["k", "g"], "left_semi").select("m", F.explode(F.expr("sequence(i, i + k - 1)")).alias("i"))
-    firm = firm.groupBy("m").agg(F.collect_set("i").alias("firm"))  # at most one position for each token of a line
-    out = tokens.join(firm, "m", "left")
+    firm = grams.join(dictionary, ["k", "g"], "left_semi").select("id", F.explode(F.expr("sequence(i, i + k - 1)")).alias("i"))
+    firm = firm.groupBy("id").agg(F.collect_set("i").alias("firm"))  # at most one position for each token of a line
+    out = tokens.join(firm, "id", "left")
     kept = F.expr(f"array_join(transform(t, (x, i) -> if(array_contains(coalesce(firm, array()), i) or x rlike '[{ISO}-{NUM}]' or size(t) < 2, x, '{VAR}')), '')")
     return out.select(kept.alias("template"), "n").groupBy("template").agg(F.sum("n").alias("n"))
 
