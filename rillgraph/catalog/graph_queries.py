@@ -276,9 +276,13 @@ query("rebalanced_agents")(lambda s, d: placement.rebalanced(G.user_next(s, d),
 
 # -- rates and policy -------------------------------------------------------------------------------------------------
 
-query("ingest_rate", "SELECT date_trunc('hour', ts)::TIMESTAMP WITH TIME ZONE AS start, count(*) AS changes, count(*) / 3600.0::DOUBLE AS per_second FROM events GROUP BY 1")(lambda s, d: policy.ingest_rate(G.table(s, d, "events"), "ts"))
+query("ingest_rate", "SELECT epoch(date_trunc('hour', ts))::BIGINT AS start, count(*) AS changes, round(count(*) / 3600.0::DOUBLE, 9) AS per_second FROM events GROUP BY 1")(
+    lambda s, d: policy.ingest_rate(G.table(s, d, "events"), "ts").select(F.unix_timestamp("start").alias("start"), "changes", F.round("per_second", 9).alias("per_second"))
+)
 query("gap_batches", """WITH g AS (SELECT ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS n FROM events), s AS (SELECT ts, sum(n) OVER (ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g)
- SELECT min(ts)::TIMESTAMP WITH TIME ZONE AS start, max(ts)::TIMESTAMP WITH TIME ZONE AS last, count(*) AS changes FROM s GROUP BY k""")(lambda s, d: policy.gap_batches(G.table(s, d, "events"), "ts", "30 minutes"))
+ SELECT epoch_us(min(ts))::BIGINT AS start, epoch_us(max(ts))::BIGINT AS last, count(*) AS changes FROM s GROUP BY k""")(
+    lambda s, d: policy.gap_batches(G.table(s, d, "events"), "ts", "30 minutes").select(F.unix_micros("start").alias("start"), F.unix_micros("last").alias("last"), "changes")
+)
 _RATES = "r AS (SELECT (row_number() OVER (ORDER BY date_trunc('hour', ts)))::INTEGER AS beat, count(*)::DOUBLE AS rate FROM events GROUP BY date_trunc('hour', ts))"
 
 

@@ -20,13 +20,6 @@ def wrapping_add(a: Column, b: Column) -> Column:
     return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(_LOW))
 
 
-def _steps(df: DataFrame, steps: list, col: str) -> DataFrame:
-    # One projection a step: each sum names its operands twice, so nesting them would double the expression every time.
-    for f in steps:
-        df = df.withColumn(col, f(F.col(col)))
-    return df
-
-
 #: The integer hash's steps, as fixed by its published definition: shifts and sums of Thomas Wang's 64-bit mix.
 WANG_STEPS = [
     lambda h: wrapping_add(F.bitwise_not(h), F.shiftleft(h, 21)),
@@ -39,10 +32,22 @@ WANG_STEPS = [
 ]
 
 
+def wang(key: Column) -> Column:
+    """The 64-bit mix of ``key`` as a signed bigint; null for a null key.
+
+    Each step is a function of one variable over an array of one value.  Sums
+    name their operands several times, so as plain expressions the steps would
+    multiply wherever the optimizer folds them into one another.
+    """
+    h = F.array(key.cast("long"))
+    for step in WANG_STEPS:
+        h = F.transform(h, step)
+    return F.get(h, F.lit(0))
+
+
 def with_wang(df: DataFrame, key: str | Column, out: str = "h") -> DataFrame:
-    """Adds ``out``, the 64-bit mix of ``key`` as a signed bigint; null for a null key."""
-    k = F.col(key) if isinstance(key, str) else key
-    return _steps(df.withColumn(out, k.cast("long")), WANG_STEPS, out)
+    """Adds ``out``, the :func:`wang` hash of ``key``."""
+    return df.withColumn(out, wang(F.col(key) if isinstance(key, str) else key))
 
 
 def unsigned(h: str | Column) -> Column:
