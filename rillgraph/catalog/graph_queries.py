@@ -161,8 +161,8 @@ def _bfs(e: str, start: int, directed: bool) -> str:
     return f"WITH RECURSIVE e AS ({e}), u AS ({step}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), b(id, d) AS (SELECT {start}::BIGINT, 0 UNION SELECT u.b, b.d + 1 FROM b JOIN u ON u.a = b.id WHERE b.d < 8), m AS (SELECT id, min(d)::BIGINT AS value FROM b GROUP BY id)"
 
 
-query("bfs_sym", f"{_bfs(G.CUST_REGION, 0, False)} SELECT v.id, m.value FROM v LEFT JOIN m ON v.id = m.id")(lambda s, d: programs.bfs(G.cust_region(s, d), [0]).state.select("id", "value"))
-query("bfs_directed", f"{_bfs(G.USER_NEXT, 0, True)} SELECT v.id, m.value FROM v LEFT JOIN m ON v.id = m.id")(lambda s, d: programs.bfs(G.user_next(s, d), [0], directed=True).state.select("id", "value"))
+query("bfs_sym", f"{_bfs(G.CUST_REGION, 0, False)} SELECT v.id, coalesce(m.value, -1) AS value FROM v LEFT JOIN m ON v.id = m.id")(lambda s, d: programs.bfs(G.cust_region(s, d), [0]).state.select("id", F.coalesce("value", F.lit(-1)).alias("value")))
+query("bfs_directed", f"{_bfs(G.USER_NEXT, 0, True)} SELECT v.id, coalesce(m.value, -1) AS value FROM v LEFT JOIN m ON v.id = m.id")(lambda s, d: programs.bfs(G.user_next(s, d), [0], directed=True).state.select("id", F.coalesce("value", F.lit(-1)).alias("value")))
 query("bfs_histogram", f"{_bfs(G.PART_SUPP, 0, False)} SELECT m.value AS hops, count(*) AS vertices FROM v LEFT JOIN m ON v.id = m.id GROUP BY 1")(
     lambda s, d: programs.bfs(G.part_supp(s, d), [0]).state.groupBy(F.col("value").alias("hops")).agg(F.count(F.lit(1)).alias("vertices"))
 )
