@@ -116,8 +116,10 @@ def pack(items: DataFrame, packs: DataFrame, key: str = "doc_id", size: str = "t
     sized = items.select(F.col(key).alias("doc_id"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("tokens"))
     sized = s.table(sized)
     salts = max(1, s.seen["rows"] // GROUP)
-    packs = packs.filter("capacity_tokens > 0 and pack_name is not null").select("pack_name", F.col("capacity_tokens").cast("long").alias("capacity")).dropDuplicates(["pack_name"])
-    each = sized.join(F.broadcast(packs))
+    known = packs.filter("capacity_tokens > 0 and pack_name is not null").groupBy("pack_name").agg(F.max("capacity_tokens")).collect()  # the few packs to fill
+    kinds = [F.struct(F.lit(name).alias("pack_name"), F.lit(capacity).cast("long").alias("capacity")) for name, capacity in known]
+    each = sized.withColumn("p", F.explode(F.array(*kinds) if kinds else F.expr("cast(array() as array<struct<pack_name: string, capacity: bigint>>)")))
+    each = each.select("doc_id", "tokens", "p.pack_name", "p.capacity")
     each = each.withColumn("full", F.floor(F.col("tokens") / F.col("capacity"))).withColumn("size", F.col("tokens") % F.col("capacity"))
     # One row for each item: what a document's full pieces leave, and documents without tokens.
     parts = each.filter("size > 0 or full = 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
