@@ -34,7 +34,7 @@ def pagerank(edges: DataFrame, damping: float = DAMPING, updates: int = UPDATES)
     return run(VertexProgram(init, message, combine, undirected=False, chunk=5), edges, most=updates)
 
 
-def bfs(edges: DataFrame, starts: list[int], directed: bool = False, most: int = 1000) -> Result:
+def bfs(edges: DataFrame, starts: list[int], directed: bool = False, most: int | None = None) -> Result:
     """``(id, value)``: hops from the nearest start, null where none leads; starts that are no vertices are ignored."""
 
     def combine(r: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def bfs(edges: DataFrame, starts: list[int], directed: bool = False, most: int =
     return run(VertexProgram(init, hop, combine, undirected=not directed), edges, most=most)
 
 
-def label_components(edges: DataFrame, keep_history: bool = False, most: int = 1000) -> Result:
+def label_components(edges: DataFrame, keep_history: bool = False, most: int | None = None) -> Result:
     """``(id, value)``: the least id that reaches a vertex, one hop a superstep; for histories and shallow graphs (see components)."""
 
     def combine(r: DataFrame) -> DataFrame:
@@ -65,7 +65,7 @@ def label_propagation(edges: DataFrame, rounds: int = ROUNDS, keep_history: bool
     return run(VertexProgram(lambda v: v.select("id", F.col("id").alias("value")), lambda: F.col("value"), combine, chunk=2), edges, keep_history, rounds)
 
 
-def coreness(edges: DataFrame, most: int = 1000, keep_history: bool = False) -> Result:
+def coreness(edges: DataFrame, most: int | None = None, keep_history: bool = False) -> Result:
     """``(id, value)``: the h-index of the neighbours' values, from degrees down to the fixpoint; neighbours count with multiplicity.
 
     Values are counted before they are ordered, so a vertex orders as many rows

@@ -40,7 +40,8 @@ class VertexProgram:
     undirected: bool = True
     #: Supersteps that one plan holds.
     chunk: int = 4
-    most: int = 1000
+    #: None runs to the fixpoint, however deep the graph is.
+    most: int | None = None
 
 
 @dataclass
@@ -74,14 +75,14 @@ class PartitionedGraph:
 
 
 def run(program: VertexProgram, edges: DataFrame, keep_history: bool = False, most: int | None = None) -> Result:
-    """Runs supersteps until no state changes, or ``most`` of them; tests after each written chunk."""
+    """Runs supersteps until no state changes, or ``most`` of them where that is given; tests after each written chunk."""
     s = Scratch(edges.sparkSession, "supersteps")
     g = PartitionedGraph(edges, program.undirected, s)
     most = program.most if most is None else most
     state = s.table(program.init(g.vertices))
     steps, converged, history = 0, g.n_vertices == 0, [state]
-    while steps < most and not converged:
-        k = 1 if keep_history else min(program.chunk, most - steps)
+    while not converged and (most is None or steps < most):
+        k = 1 if keep_history else program.chunk if most is None else min(program.chunk, most - steps)
         for _ in range(k):
             state = program.combine(g.received(state.drop("before"), program.message()))
         new = s.table(state, changed=F.count(F.when(~F.col("value").eqNullSafe(F.col("before")), 1)))

@@ -128,3 +128,17 @@ def test_stream(spark, tmp_path):
     assert sorted(map(tuple, store.read().collect())) == [(2, 3)] and store.batches() == [0, 1]
     store.apply(store.read().limit(0).selectExpr("1L as seq", "1 as op", "src", "dst"), 1)  # a replayed batch changes nothing
     assert graph.graph_stats(store.read()).first().edges == 1
+
+
+def test_deep_paths_run_to_the_fixpoint(spark):
+    path = E(spark, *[(i, i + 1) for i in range(1010)])
+    r = programs.bfs(path, [0], directed=True)
+    assert values(r.state) == {i: i for i in range(1011)} and r.converged
+
+
+def test_programs_have_no_superstep_cap(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(programs, "run", lambda p, e, keep_history=False, most=None: asked.append((p.most, most)))
+    e = E(spark, (1, 2))
+    programs.bfs(e, [1]), programs.label_components(e), programs.coreness(e)
+    assert asked == [(None, None)] * 3
