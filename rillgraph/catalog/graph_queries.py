@@ -17,6 +17,7 @@ from . import graphs as G
 
 SIZE, BATCHES, LINE_LAYOUT = 1000, 4, "dyn"
 WIDTH, DEPTH = 256, 4
+REPLAYED = 16
 Q = {}
 SQL = {}
 
@@ -101,6 +102,17 @@ def stream_replay(spark: SparkSession, d: str) -> DataFrame:
     return store.read()
 
 
+@query("stream_replay_all", f"{_LAST} GROUP BY src, dst) SELECT src, dst FROM l WHERE op = 1")
+def stream_replay_all(spark: SparkSession, d: str) -> DataFrame:
+    """All changes, in some REPLAYED batches whatever the stream's length; stream_replay stops after BATCHES of SIZE."""
+    store, _ = _store(spark)
+    steps = Scratch(spark, "replay").table(G.user_steps(spark, d))
+    least, most = steps.agg(F.min("seq"), F.max("seq")).first()
+    size = SIZE if least is None else max(SIZE, (most - least) // REPLAYED + 1)
+    replay(steps, store, size, keep=2)
+    return store.read()
+
+
 @query("stream_ingest_foreach_batch", f"{_LAST} GROUP BY src, dst) SELECT src, dst FROM l WHERE op = 1")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The change stream read as a stream of files, one mini-batch a file, and applied batch by batch."""

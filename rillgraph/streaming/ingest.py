@@ -83,9 +83,14 @@ def ingest(stream: DataFrame, store: SnapshotStore, checkpoint: str, every: str
     return (w.trigger(processingTime=every) if every else w.trigger(availableNow=True)).start()
 
 
-def replay(updates: DataFrame, store: SnapshotStore, size: int, batches: int) -> None:
-    """Applies a table of changes in mini-batches of ``size`` by ``seq``, the first ``batches`` of them."""
+def replay(updates: DataFrame, store: SnapshotStore, size: int, batches: int | None = None, keep: int | None = None) -> None:
+    """Applies a table of changes in mini-batches of ``size`` by ``seq``, from the least there is: all, or those below ``batches``; keeps the ``keep`` last snapshots, or all."""
     from ..operators.updates import batch_of
 
-    for b in range(batches):
-        store.apply(updates.filter(batch_of("seq", size) == b), b)
+    numbered = updates.select(batch_of("seq", size).alias("b"))
+    there = [r.b for r in numbered.filter("b is not null").distinct().sort("b").collect()]  # one row a batch
+    for b in there:
+        if batches is None or b < batches:
+            store.apply(updates.filter(batch_of("seq", size) == b), b)
+            if keep:
+                store.keep(keep)

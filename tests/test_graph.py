@@ -8,7 +8,7 @@ from rillgraph.operators import graph, placement, policy, updates
 from rillgraph.plans import programs
 from rillgraph.plans.components import components, incremental_components
 from rillgraph.sources.edges import random_graph, read_edges, unpack_edges
-from rillgraph.streaming.ingest import SnapshotStore, ingest, stream_lines
+from rillgraph.streaming.ingest import SnapshotStore, ingest, replay, stream_lines
 
 
 def E(spark, *pairs):
@@ -142,3 +142,12 @@ def test_programs_have_no_superstep_cap(spark, monkeypatch):
     e = E(spark, (1, 2))
     programs.bfs(e, [1]), programs.label_components(e), programs.coreness(e)
     assert asked == [(None, None)] * 3
+
+
+def test_replay_applies_every_batch(spark, tmp_path):
+    u = spark.createDataFrame([(0, 1, 7, 8), (1, 1, 1, 2), (2, 1, 2, 3), (3, -1, 1, 2), (9, 1, 5, 6)], "seq long, op int, src long, dst long")
+    some, store = SnapshotStore(spark, str(tmp_path / "k")), SnapshotStore(spark, str(tmp_path / "all"))
+    replay(u, some, 2, 1)
+    assert sorted(map(tuple, some.read().collect())) == sorted(map(tuple, updates.snapshot_after(None, u, 2, 1).collect())) == [(1, 2), (2, 3), (7, 8)]
+    replay(u, store, 2)
+    assert sorted(map(tuple, store.read().collect())) == [(2, 3), (5, 6), (7, 8)] and store.batches() == [-1, 0, 1, 4]
