@@ -188,6 +188,8 @@ def _lpa(e: str, k: int) -> str:
 
 query("lpa_k", _lpa(G.PART_SUPP, 5))(lambda s, d: programs.label_propagation(G.part_supp(s, d), 5).state.select("id", "value"))
 query("lpa_edge", _lpa(G.EDGE, 4))(lambda s, d: programs.label_propagation(G.edge(s, d), 4).state.select("id", "value"))
+# The operator's whole ROUNDS; lpa_edge stops after the 4 of its SQL.
+query("lpa_edge_all", _lpa(G.EDGE, programs.ROUNDS))(lambda s, d: programs.label_propagation(G.edge(s, d)).state.select("id", "value"))
 
 
 def _core(e: str, k: int) -> str:

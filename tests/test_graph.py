@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from rillgraph.catalog import graph_queries
 from rillgraph.engine import GraphSession
 from rillgraph.functions import hashing, sketches
 from rillgraph.operators import graph, placement, policy, updates
@@ -151,3 +152,14 @@ def test_replay_applies_every_batch(spark, tmp_path):
     assert sorted(map(tuple, some.read().collect())) == sorted(map(tuple, updates.snapshot_after(None, u, 2, 1).collect())) == [(1, 2), (2, 3), (7, 8)]
     replay(u, store, 2)
     assert sorted(map(tuple, store.read().collect())) == [(2, 3), (5, 6), (7, 8)] and store.batches() == [-1, 0, 1, 4]
+
+
+def test_lpa_edge_all_runs_all_rounds(spark, tmp_path):
+    pairs = [(i, i + 1) for i in range(30)]
+    E(spark, *pairs).write.parquet(str(tmp_path / "edge.parquet"))
+    near = {i: [x for p in pairs if i in p for x in p if x != i] for i in range(31)}
+    label = {i: i for i in near}
+    for _ in range(programs.ROUNDS):
+        heard = {i: [label[x] for x in near[i]] for i in near}
+        label = {i: min(heard[i], key=lambda x: (-heard[i].count(x), x)) for i in near}
+    assert values(graph_queries.Q["lpa_edge_all"](spark, str(tmp_path))) == label != values(graph_queries.Q["lpa_edge"](spark, str(tmp_path)))
