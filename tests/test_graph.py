@@ -163,3 +163,12 @@ def test_lpa_edge_all_runs_all_rounds(spark, tmp_path):
         heard = {i: [label[x] for x in near[i]] for i in near}
         label = {i: min(heard[i], key=lambda x: (-heard[i].count(x), x)) for i in near}
     assert values(graph_queries.Q["lpa_edge_all"](spark, str(tmp_path))) == label != values(graph_queries.Q["lpa_edge"](spark, str(tmp_path)))
+
+
+def test_sketch_report_all_has_true_replicas(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id div 4 as l_partkey", "id % 400 as l_suppkey")
+    rows.write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = graph_queries.Q["sketch_report_all"](spark, str(tmp_path))
+    assert got.filter("estimate <> in_degree + out_degree or replicas <> 1").isEmpty() and got.count() == 5_400
+    small = graph_queries.Q["sketch_report"](spark, str(tmp_path))
+    assert not small.filter("estimate <> in_degree + out_degree").isEmpty()
