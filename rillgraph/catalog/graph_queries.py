@@ -293,6 +293,16 @@ query("moved_edges", f"WITH {_OWN}, {_ring_sql('q', 'AND left_at IS NULL')}, {_o
 query("message_distribution", f"WITH {_OWN}, x AS (SELECT DISTINCT e.src, b.o_agent AS src_agent, a.o_agent AS dst_agent FROM e JOIN o a ON a.id = e.dst JOIN o b ON b.id = e.src) SELECT 0 AS superstep, src_agent, dst_agent, count(*) AS messages FROM x GROUP BY 2, 3")(
     lambda s, d: placement.message_distribution(G.user_next(s, d), graph.vertices(G.user_next(s, d)).withColumn("superstep", F.lit(0)), _agents(s, d))
 )
+
+
+@query("message_distribution_run", f"{_bfs(G.USER_NEXT, 0, True)}, {_OWN.removeprefix(_IDS + ', ')}, x AS (SELECT DISTINCT e.src, b.o_agent AS src_agent, a.o_agent AS dst_agent FROM e JOIN o a ON a.id = e.dst JOIN o b ON b.id = e.src) SELECT m.value::INTEGER AS superstep, src_agent, dst_agent, count(*) AS messages FROM x JOIN m ON m.id = x.src GROUP BY 1, 2, 3")
+def message_distribution_run(spark: SparkSession, d: str) -> DataFrame:
+    """The messages of each superstep of a directed search from 0; message_distribution has all vertices send once."""
+    e = Scratch(spark, "messages").table(G.user_next(spark, d))
+    run = programs.bfs(e, [0], directed=True, keep_history=True)
+    return placement.message_distribution(e, programs.senders(run), _agents(spark, d))
+
+
 query("split_edge_owner")(lambda s, d: placement.split_edge_owner(G.user_next(s, d), _agents(s, d), graph.degrees(G.user_next(s, d)).select("id", sketches.replicas("degree", 50).alias("k"))))
 query("rebalanced_agents")(lambda s, d: placement.rebalanced(G.user_next(s, d), _agents(s, d)))
 

@@ -34,7 +34,7 @@ def pagerank(edges: DataFrame, damping: float = DAMPING, updates: int = UPDATES)
     return run(VertexProgram(init, message, combine, undirected=False, chunk=5), edges, most=updates)
 
 
-def bfs(edges: DataFrame, starts: list[int], directed: bool = False, most: int | None = None) -> Result:
+def bfs(edges: DataFrame, starts: list[int], directed: bool = False, most: int | None = None, keep_history: bool = False) -> Result:
     """``(id, value)``: hops from the nearest start, null where none leads; starts that are no vertices are ignored."""
 
     def combine(r: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def bfs(edges: DataFrame, starts: list[int], directed: bool = False, most: int |
 
     init = lambda v: v.select("id", F.when(F.col("id").isin([int(x) for x in starts]), F.lit(0).cast("long")).alias("value"))
     hop = lambda: F.col("value") + F.when(F.col("self"), 0).otherwise(1)
-    return run(VertexProgram(init, hop, combine, undirected=not directed), edges, most=most)
+    return run(VertexProgram(init, hop, combine, undirected=not directed), edges, keep_history, most)
 
 
 def label_components(edges: DataFrame, keep_history: bool = False, most: int | None = None) -> Result:
@@ -88,3 +88,13 @@ def active_counts(result: Result) -> DataFrame:
         n = state.agg(F.count(F.when(~F.col("value").eqNullSafe(F.col("before")), 1)).alias("active")).select(F.lit(i).alias("superstep"), "active")
         out = n if out is None else out.unionByName(n)
     return out
+
+
+def senders(result: Result) -> DataFrame:
+    """``(superstep, id)`` of a result with history: the vertices whose state is new, at 0 those that have one, and goes out in that superstep."""
+    out = None
+    for i, state in enumerate(result.history):
+        new = ~F.col("value").eqNullSafe(F.col("before")) if i else F.col("value").isNotNull()
+        n = state.filter(new).select(F.lit(i).alias("superstep"), "id")
+        out = n if out is None else out.unionByName(n)
+    return out

@@ -172,3 +172,11 @@ def test_sketch_report_all_has_true_replicas(spark, tmp_path):
     assert got.filter("estimate <> in_degree + out_degree or replicas <> 1").isEmpty() and got.count() == 5_400
     small = graph_queries.Q["sketch_report"](spark, str(tmp_path))
     assert not small.filter("estimate <> in_degree + out_degree").isEmpty()
+
+
+def test_message_distribution_of_a_run(spark):
+    e = E(spark, (0, 1), (0, 2), (1, 3), (2, 3), (9, 9))
+    sent = programs.senders(programs.bfs(e, [0], directed=True, keep_history=True))
+    assert sorted(map(tuple, sent.collect())) == [(0, 0), (1, 1), (1, 2), (2, 3)]
+    agents = spark.createDataFrame([(1, 100)], "agent_id long, vagents int")
+    assert sorted(map(tuple, placement.message_distribution(e, sent, agents).collect())) == [(0, 1, 1, 1), (1, 1, 1, 2)]
