@@ -115,16 +115,14 @@ def stream_replay_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_ingest_foreach_batch", f"{_LAST} GROUP BY src, dst) SELECT src, dst FROM l WHERE op = 1")
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """The change stream read as a stream of files, one mini-batch a file, and applied batch by batch."""
+    """The change stream read as a stream of files, which come in four parts; a part is a mini-batch of as many files as it has tasks."""
     store, root = _store(spark)
-    steps = G.user_steps(spark, d)
     folder = f"{root}/changes"
     steps = Scratch(spark, "changes").table(G.user_steps(spark, d))
     most = steps.agg(F.max("seq")).first()[0] or 0
-    for quarter in range(4):  # four files, the later changes in the later file
-        steps.filter(F.least(F.lit(3), F.floor(F.col("seq") * 4 / (most + 1))) == quarter).coalesce(1).write.mode("append").parquet(folder)
-    stream = spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    ingest(stream, store, f"{root}/checkpoint").awaitTermination()
+    for quarter in range(4):  # the later changes in the later part, which comes after the part before is applied
+        steps.filter(F.least(F.lit(3), F.floor(F.col("seq") * 4 / (most + 1))) == quarter).write.mode("append").parquet(folder)
+        ingest(spark.readStream.schema(steps.schema).parquet(folder), store, f"{root}/checkpoint").awaitTermination()
     return store.read()
 
 

@@ -180,3 +180,17 @@ def test_message_distribution_of_a_run(spark):
     assert sorted(map(tuple, sent.collect())) == [(0, 0), (1, 1), (1, 2), (2, 3)]
     agents = spark.createDataFrame([(1, 100)], "agent_id long, vagents int")
     assert sorted(map(tuple, placement.message_distribution(e, sent, agents).collect())) == [(0, 1, 1, 1), (1, 1, 1, 2)]
+
+
+def test_stream_ingest_writes_with_many_tasks(spark, tmp_path, monkeypatch):
+    at = "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id)"
+    spark.range(400).selectExpr("id as event_id", f"{at} as ts", "id % 7 as user_id", "if(id % 5 = 0, 'error', 'view') as event_type").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(graph_queries, "_store", lambda s: (SnapshotStore(s, str(tmp_path / "s")), str(tmp_path / "s")))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    got = graph_queries.Q["stream_ingest_foreach_batch"](spark, str(tmp_path))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    steps = graph_queries.G.user_steps(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, updates.last_wins(steps).filter("op = 1").select("src", "dst").collect()))
+    assert len(list((tmp_path / "s" / "changes").glob("*.parquet"))) > 4 and SnapshotStore(spark, str(tmp_path / "s")).batches() == [0, 1, 2, 3]
