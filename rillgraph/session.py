@@ -63,6 +63,10 @@ class Scratch:
         out._scratch_path = path  # type: ignore[attr-defined]
         return out
 
+    def close(self) -> None:
+        """Deletes all tables of the call; what was made of them must have been read."""
+        self._fs.delete(self._path, True)
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
             path = getattr(t, "_scratch_path", None)
@@ -72,3 +76,9 @@ class Scratch:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer parts than there are cores, as a table of one file does; else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
