@@ -29,7 +29,7 @@ def p4_estimates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return parse_logs(_t(spark, d, "agent_log")).select("line_id", "last_line_id", "ts_ms", "log_level", "component", "nv", "ne")
+    return parse_logs(_t(spark, d, "agent_log"), with_message=False).select("line_id", "last_line_id", "ts_ms", "log_level", "component", "nv", "ne")
 
 
 def p6_pack(spark: SparkSession, d: str) -> DataFrame:

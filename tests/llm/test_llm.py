@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rillgraph.llm import groups
+from rillgraph.llm import groups, logs
 from rillgraph.llm.groups import link_groups
 from rillgraph.llm.heavy import HeavyLight, frequent_exact
 from rillgraph.llm.logs import parse_logs
@@ -62,29 +62,53 @@ def test_frequent(spark):
     assert frequent_exact(df.limit(0), ["src"], 0.1).isEmpty()
 
 
-def test_logs(spark):
-    text = [
-        ("f", "tail of an entry"),
-        ("f", "2031-03-01 00:19:48.161 INFO  [Sys : Agent : 64] HRTBEAT | W state=5 nE=94,104"),
-        ("f", "    2031-05-06 07:08:09.100 INFO  [Sys : Agent : 47] HRTBEAT | - gnV=9 nV = 6_753 nE=5"),
-        ("f", ""),
-        ("f", '{"t":1930090787820,"sev":"WARNING","who":"client","text":"x nV=4"}'),
-        ("f", "[Sys : Directory :  3] HRTBEATS nV=1"),
-        ("g", "{"), ("g", '  "t": 1930090795842,'), ("g", '  "sev": "ERROR",'), ("g", '  "who": "agent#5",'), ("g", '  "text": "HRTBEAT: nV=12"'), ("g", "}"),
-        ("g", "Mar  1 00:19:47 node-2 sys-streamer: <dbg> y"),
-        ("g", "ts=2031-03-01T02:00:00+02:00 comp=agent.7 lvl=err msg=\"z\""),
-        ("g", "01/03/2031 00:22:19|INFO|agent-58|w"),
-        ("g", None),
-    ]
-    day, no = datetime.date(2031, 3, 1), {}
+DAY = datetime.date(2031, 3, 1)
+MESSAGES = ("HRTBEAT | W rate=1 nV=7 nE=8", "peer link lost; retry in 5 ms", "RESET   |", "balance at nV=4", "ring follows", "query for 3 answered")
+#: A layout each, "@" standing for the message.
+LAYOUTS = (
+    "2031-03-01 00:00:01.000 INFO  [Sys : Agent : 9] @",
+    "[Sys : Directory :  2] @",
+    '{"t":1930090787820,"sev":"INFO","who":"client","text":"@"}',
+    "Mar  1 00:00:09 node-1 sys-streamer: <info> @",
+    'ts=2031-03-01T00:00:01Z comp=agent.7 lvl=info msg="@"',
+    "01/03/2031 00:00:02|WARN|agent-1|@",
+    '{\n  "t": 1930090795842,\n  "sev": "ERROR",\n  "who": "agent#5",\n  "text": "@"\n}',
+)
+
+
+def log_table(spark, files):
+    """Lines of ``{file: lines}``; ids count by 10 over the files in their order."""
     rows = []
-    for i, (f, raw) in enumerate(text):
-        no[f] = no.get(f, -1) + 1
-        rows.append((10 * i, f, no[f], day, raw, "clash"))
-    df = spark.createDataFrame(rows, "line_id long, file_name string, line_no long, opened_on date, raw string, ts string")
-    got = {r.line_id: (r.last_line_id, r.ts_ms, r.log_level, r.component, r.nv, r.ne) for r in parse_logs(df).collect()}
-    ms = lambda *a: int(datetime.datetime(*a, tzinfo=datetime.UTC).timestamp() * 1000)
-    assert got == {
+    for name, lines in files.items():
+        rows += [(10 * (len(rows) + i), name, i, DAY, raw, "clash") for i, raw in enumerate(lines)]
+    return spark.createDataFrame(rows, "line_id long, file_name string, line_no long, opened_on date, raw string, ts string")
+
+
+def log_background(layouts=LAYOUTS):
+    return "\n".join(x.replace("@", m) for x in layouts for m in MESSAGES).split("\n")
+
+
+def parsed(df, least=None, most=None):
+    rows = parse_logs(df).collect()
+    return {r.line_id: (r.last_line_id, r.ts_ms, r.log_level, r.component, r.nv, r.ne) for r in rows if (least or 0) <= r.line_id < (most or 1 << 60)}
+
+
+def ms(*a):
+    return int(datetime.datetime(*a, tzinfo=datetime.UTC).timestamp() * 1000)
+
+
+def test_logs(spark):
+    f = [
+        "tail of an entry",
+        "2031-03-01 00:19:48.161 INFO  [Sys : Agent : 64] HRTBEAT | W state=5 nE=94,104",
+        "    2031-05-06 07:08:09.100 INFO  [Sys : Agent : 47] HRTBEAT | - gnV=9 nV = 6_753 nE=5",
+        "",
+        '{"t":1930090787820,"sev":"WARNING","who":"client","text":"x nV=4"}',
+        "[Sys : Directory :  3] HRTBEATS nV=1",
+    ]
+    g = ["{", '  "t": 1930090795842,', '  "sev": "ERROR",', '  "who": "agent#5",', '  "text": "HRTBEAT: nV=12"', "}", "Mar  1 00:19:47 node-2 sys-streamer: <dbg> y", 'ts=2031-03-01T02:00:00+02:00 comp=agent.7 lvl=err msg="z"', "01/03/2031 00:22:19|INFO|agent-58|w", None]
+    df = log_table(spark, {"f": f, "g": g, "other": log_background()})
+    assert parsed(df, most=160) == {
         10: (30, ms(2031, 3, 1, 0, 19, 48) + 161, "INFO", "agent:64", 6753, 94104),
         40: (40, 1930090787820, "WARN", "client", -1, -1),
         50: (50, -1, "NONE", "directory:3", -1, -1),
@@ -94,6 +118,34 @@ def test_logs(spark):
         140: (150, ms(2031, 3, 1, 0, 22, 19), "INFO", "agent:58", -1, -1),
     }
     assert parse_logs(df.limit(0)).isEmpty()
+    messages = {r.line_id: r.message for r in parse_logs(df).collect()}
+    assert messages[50] == "HRTBEATS nV=1" and messages[40] == 'x nV=4"}'
+
+
+def test_logs_of_layouts_that_nobody_foresaw(spark):
+    """A level behind the program, words of all kinds before it, a header of twelve lines, one far into the line, and a layout of a single line."""
+    twelve = "{\n" + "".join(f'  "k{i}": "v",\n' for i in range(8)) + '  "who": "agent#5",\n  "at": 1930090795842,\n  "text": "@"\n}'
+    far = "~" * 90 + " 2031-03-01 00:00:01 :: streamer/4 ~> @"
+    odd = "pod alpha >> client 7 (( WARN )) at 01/03/2031 00:00:02 == @"
+    once = "%% 2031-03-01 00:00:05 %% directory 3 %% HRTBEAT | W rate=1 nV=7 nE=8"
+    df = log_table(spark, {"a": [once, "RESET the ring"], "b": log_background((twelve, far, odd, LAYOUTS[0]))})
+    got = parsed(df)
+    assert got[0] == (10, ms(2031, 3, 1, 0, 0, 5), "NONE", "directory:3", 7, 8)
+    at = 20
+    for lines, want in ((13, (1930090795842, "NONE", "agent:5")), (1, (ms(2031, 3, 1, 0, 0, 1), "NONE", "streamer:4")), (1, (ms(2031, 3, 1, 0, 0, 2), "WARN", "client:7"))):
+        for i in range(len(MESSAGES)):
+            assert got[at] == (at + 10 * (lines - 1), *want, *((7, 8) if i == 0 else (-1, -1))), at
+            at += 10 * lines
+    assert len(got) == 1 + 4 * len(MESSAGES)
+
+
+def test_logs_need_their_ngrams(spark, monkeypatch):
+    df = log_table(spark, {"b": log_background()})
+    true = parsed(df)
+    assert len(true) == len(LAYOUTS) * len(MESSAGES)
+    real = logs.ngram_dictionary
+    monkeypatch.setattr(logs, "ngram_dictionary", lambda t, s: (real(t, s)[0].withColumn("branch", F.lit(False)), real(t, s)[1]))
+    assert parsed(df) == {}
 
 
 def best_fit(capacity, sizes):
