@@ -4,21 +4,26 @@ Labelling functions vote on every document and area, and a latent model that
 learns how far to trust each vote turns them into a probability:
 
 * lexicon: in how many of the court's own sentences of one numbered paragraph a
-  word or pair of words of the area occurs, at most (0, 1, 2, 3 or more);
-* section: whether the headnote names the area;
+  word or pair of words of the area occurs (0, 1, 2, 3 or more), and in how many
+  more a weaker hint does (0, 1, 2 or more);
+* section: whether the headnote names the area, or hints at it;
 * address: whether the parties' names, in the lines that address them, do;
-* source: whether the area is more frequent than elsewhere in the document's source.
+* source: whether the area is more frequent than elsewhere in the document's source;
+* label: whether the document is labelled with the area, or without it, or not at all.
 
-The words come from the labelled documents: a first lexicon from whole
-documents, then a second one from the paragraphs that the first one settles.
+The words come from labelled documents: a first lexicon from whole documents, then
+a second one from the paragraphs that the first one settles; words of sentences
+that name an area foreign to their paragraph tell sentences that only compare.
 The model is a two-class mixture with one table of vote probabilities for each
-function, fitted by expectation-maximisation to the counts of vote patterns over
-all documents; there are few patterns, however many documents.
+function, labels among them, fitted by expectation-maximisation to the counts of
+vote patterns over all documents; labelled and unlabelled documents weigh alike as
+two bodies, so that labels anchor the classes and all documents shape the tables.
+There are few patterns, however many documents.
 
 At scale: one pass over the texts in Arrow batches that gives small votes, one
 combining count of vote patterns, no shuffle of text.  The lexicon is fitted on at
 most ``MOST_LABELLED`` labelled documents, taken in the order of a hash of their
-ids; all else covers every document.
+ids; all else covers every document and every label.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Scratch
+from ..session import Scratch, spread
 from .tokens import small_batches
 
 #: Labelled documents that the lexicon is fitted on at most.
@@ -51,13 +56,6 @@ _MARK = re.compile(r"[ \t]*(?:\[(\d{1,4})\]|\((\d{1,4})\)|(\d{1,4})\.|(\d{1,4}))
 _QUOTE = re.compile('[“„”][^“”„]*[“”]|«[^»]*»|"[^"]*"')
 _GERMAN_MONTHS = "Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 _SENTENCE = re.compile(rf"[.!?] (?=[^\W\d_a-zß-ÿ]|[\[(█«“„])(?!(?:{_GERMAN_MONTHS})\b)")
-#: Turns of phrase by which a sentence only compares or mentions in passing.
-_PASSING = re.compile(
-    r"would be different if|were at issue|on the way to|it is said|compared the matter|without success, to a case|a case about"
-    r"|läge es|zu beurteilen wäre|der vergleich mit|ein(?:en|em)? vergleich|so ist es nicht|auf dem weg|es heißt, durch"
-    r"|en irait autrement|la comparaison avec|a comparé|n'est pas le cas|en se rendant|dit-on|une affaire (?:visant|portant)",
-    re.I,
-)
 _DIGITS = re.compile(r"\d+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -134,34 +132,37 @@ def features(sentence: str) -> set[str]:
 
 
 class Lexicon:
-    """The areas of a sentence by its words; none if it only compares or mentions them in passing."""
+    """The areas that a sentence names by its words, and those that it hints at; it names none if it only compares or mentions."""
 
-    def __init__(self, words: dict[str, str]):
-        self.words = words
-        self._known: dict[str, tuple[str, ...]] = {}
+    def __init__(self, words: dict[str, str], hints: dict[str, str] | None = None, passing: frozenset[str] = frozenset()):
+        self.words, self.hints, self.passing = words, hints or {}, passing
+        self._known: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {}
 
-    def areas(self, sentence: str) -> tuple[str, ...]:
+    def marks(self, sentence: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
         s = _DIGITS.sub("0", sentence)
         found = self._known.get(s)
         if found is None:
-            get = self.words.get
-            found = tuple({a for f in features(s) if (a := get(f)) is not None})
-            if found and _PASSING.search(s):
-                found = ()
+            all_ = features(s)
+            named = {a for f in all_ if (a := self.words.get(f)) is not None}
+            hinted = {a for f in all_ if (a := self.hints.get(f)) is not None} - named
+            if named and not self.passing.isdisjoint(all_):
+                named, hinted = set(), named
+            found = tuple(named), tuple(hinted)
             if len(self._known) >= CACHE:
                 self._known.clear()
             self._known[s] = found
         return found
 
     def count(self, paragraph: list[str]) -> Counter:
-        return Counter(a for s in paragraph for a in self.areas(s))
+        return Counter(a for s in paragraph for a in self.marks(s)[0])
 
 
-def learn_lexicon(rulings: dict[int, list[list[str]]], labels: dict[int, set[str]]) -> dict[str, str]:
+def learn_lexicon(rulings: dict[int, list[list[str]]], labels: dict[int, set[str]]) -> Lexicon:
     """Words and pairs that tell an area, from labelled documents' paragraphs."""
-    least = 4 if len(rulings) >= 200 else 2
+    # What must recur at least grows with the sample, from twice to four times.
+    least = min(4, 2 + len(rulings) // 100)
     rulings = {d: [[_DIGITS.sub("0", s) for s in p] for p in ps] for d, ps in rulings.items()}
-    of = {s: () if _PASSING.search(s) else tuple(features(s)) for s in {s for ps in rulings.values() for p in ps for s in p}}
+    of = {s: tuple(features(s)) for s in {s for ps in rulings.values() for p in ps for s in p}}
     n: Counter = Counter()
     with_area: Counter = Counter()
     for d, ps in rulings.items():
@@ -170,78 +171,108 @@ def learn_lexicon(rulings: dict[int, list[list[str]]], labels: dict[int, set[str
         for a in labels[d]:
             with_area.update([(f, a) for f in seen])
     words = {f: a for (f, a), k in with_area.items() if k >= least and k >= 0.6 * n[f]}
-    for share in (0.7, 0.8):  # from whole documents to paragraphs
+    weak, passing = {}, set()
+    for share in (0.6, 0.75, None):  # from whole documents to paragraphs, twice; then what only hints or compares
         lexicon = Lexicon(words)
         times: Counter = Counter()
         within: Counter = Counter()
+        own: Counter = Counter()
         for d, ps in rulings.items():
             for p in ps:
                 times.update(p)
                 top = lexicon.count(p).most_common(1)
-                if top and top[0][1] >= 2 and top[0][0] in labels[d]:
-                    within.update([(s, top[0][0]) for s in p])
-        n, with_area = Counter(), Counter()
+                main = top[0][0] if top and top[0][1] >= 2 and top[0][0] in labels[d] else None
+                if main:
+                    within.update([(s, main) for s in p])
+                if share is None:
+                    own.update([(s, main in named) for s in p if (named := lexicon.marks(s)[0])])
+        n, with_area, home = Counter(), Counter(), Counter()
         for s, k in times.items():
             for f in of[s]:
                 n[f] += k
         for (s, a), k in within.items():
             for f in of[s]:
                 with_area[f, a] += k
-        words = {f: a for (f, a), k in with_area.items() if k >= share * (n[f] + 1) and k >= least}
-    return words
-
-
-def votes(address: str, headnote: str, paragraphs: list[list[str]], lexicon: Lexicon) -> dict[str, tuple[int, int, int]]:
-    """``(lexicon, section, address)`` votes of each area that any of them sees."""
-    most: Counter = Counter()
-    for p in paragraphs:
-        for a, k in lexicon.count(p).items():
-            most[a] = max(most[a], k)
-    noted, named = set(lexicon.areas(headnote)), set(lexicon.areas(address))
-    return {a: (min(most[a], 3), int(a in noted), int(a in named)) for a in {*most, *noted, *named}}
-
-
-#: Labels without two sentences to bear them out are wrong ones beyond this share.
-WRONG_LABELS = 0.01
-#: What is added to the counts of lexicon votes without and with the area: two sentences or more are what deals with an area.
-PRIOR = {0: (20.0, 0.5), 1: (2.0, 0.2), 2: (0.2, 2.0), 3: (0.2, 2.0)}
+        for (s, at_home), k in own.items():
+            for f in of[s]:
+                home[f, at_home] += k
+        if share is None:
+            weak = {f: a for (f, a), k in with_area.items() if f not in words and k >= 2 and k >= 0.5 * (n[f] + 1)}
+            passing = {f for (f, at_home), k in home.items() if not at_home and f not in words and k >= least and k >= 0.9 * (k + home[f, True] + 1)}
+        else:
+            words = {f: a for (f, a), k in with_area.items() if k >= share * (n[f] + 0.4) and k >= least}
+    return Lexicon(words, weak, frozenset(passing))
 
 
-def lexicon_votes(rulings: dict[int, list[list[str]]], labels: dict[int, set[str]], areas: list[str], lexicon: Lexicon) -> dict[int, list[float]]:
-    """Of each vote of the lexicon, how often labelled documents get it for areas that they do not and do deal with."""
-    table = {v: list(p) for v, p in PRIOR.items()}
-    for d, paragraphs in rulings.items():
-        got = votes("", "", paragraphs, lexicon)
-        for a in areas:
-            table[got.get(a, (0,))[0]][a in labels[d]] += 1
-    return table
+#: How many values each function's vote has: lexicon, section, address, source, label.
+VALUES = (12, 3, 3, 2, 3)
+UNLABELLED = 2
 
 
-def fit_votes(patterns: Iterable[tuple[tuple[int, ...], float]], lexicon: dict[int, list[float]], rounds: int = 200) -> dict[tuple[int, ...], float]:
+def votes(address: str, headnote: str, paragraphs: list[list[str]], lexicon: Lexicon) -> dict[str, tuple[int, int, int]]:
+    """``(lexicon, section, address)`` votes of each area that any of them sees; the lexicon's is 3 times the sentences that name it plus those that hint."""
+    best: dict[str, int] = {}
+    for p in paragraphs:
+        named, hinted = Counter(), Counter()
+        for s in p:
+            x, y = lexicon.marks(s)
+            if x:
+                named.update(x)
+            if y:
+                hinted.update(y)
+        for a in {*named, *hinted}:
+            best[a] = max(best.get(a, 0), 3 * min(named[a], 3) + min(hinted[a], 2))
+    note, name = lexicon.marks(headnote), lexicon.marks(address)
+    grade = lambda a, m: 2 if a in m[0] else int(a in m[1])
+    return {a: (best.get(a, 0), grade(a, note), grade(a, name)) for a in {*best, *note[0], *note[1], *name[0], *name[1]}}
+
+
+def pack_votes(pattern: Iterable[int]) -> int:
+    out, place = 0, 1
+    for v, size in zip(pattern, VALUES, strict=False):
+        out, place = out + v * place, place * size
+    return out
+
+
+def unpack_votes(code: int) -> tuple[int, ...]:
+    out = []
+    for size in VALUES:
+        out.append(code % size)
+        code //= size
+    return tuple(out)
+
+
+def fit_votes(patterns: Iterable[tuple[tuple[int, ...], float]], rounds: int = 500) -> dict[tuple[int, ...], float]:
     """Probability that the area is dealt with, for each pattern of votes, from the patterns' counts.
 
-    The lexicon's accuracy is that on labelled documents, which anchors the two
-    classes; how frequent the classes are and how far the other functions can be
-    trusted is learned from all documents without their labels.
+    A vote's probabilities with and without the area are learned for every
+    function, the labels included, which may be wrong or missing like any other
+    vote.  Labels and, where there is none, two naming sentences only say where
+    the iteration starts.  Documents without labels weigh together at most as
+    much as those with labels, else their number alone would decide what the two
+    classes mean.
     """
-    rows = [(p, n) for p, n in patterns if n > 0]
-    sums = [sum(t[y] for t in lexicon.values()) for y in (0, 1)]
-    trust = {v: (t[0] / sums[0], min(t[1] / sums[1], 1.0 if v >= 2 else WRONG_LABELS)) for v, t in lexicon.items()}
-    post = {p: trust[p[0]][1] / sum(trust[p[0]]) for p, _ in rows}
+    rows = [(p, float(n)) for p, n in patterns if n > 0]
+    marked = sum(n for p, n in rows if p[-1] != UNLABELLED)
+    others = sum(n for p, n in rows if p[-1] == UNLABELLED)
+    scale = min(1.0, marked / others) if marked and others else 1.0
+    rows = [(p, n if p[-1] != UNLABELLED else n * scale) for p, n in rows]
+    start = {0: 0.02, 1: 0.1, 2: 0.8, 3: 0.9}
+    post = {p: start[p[0] // 3] if p[-1] == UNLABELLED else (0.97 if p[0] >= 3 else 0.6) if p[-1] else (0.51 if p[0] >= 6 else 0.01) for p, _ in rows}
     for _ in range(rounds):
-        tables: list[dict[int, list[float]]] = [defaultdict(lambda: [0.01, 0.01]) for _ in range(len(rows[0][0]) if rows else 0)]
-        weight = [0.01, 0.01]
+        tables: list[dict[int, list[float]]] = [defaultdict(lambda: [0.1, 0.1]) for _ in VALUES]
+        weight = [0.1, 0.1]
         for p, n in rows:
             for y, q in ((0, 1 - post[p]), (1, post[p])):
                 weight[y] += n * q
-                for i, v in enumerate(p):
-                    tables[i][v][y] += n * q
+                for table, v in zip(tables, p, strict=True):
+                    table[v][y] += n * q
         new = {}
         for p, _ in rows:
-            like = [weight[y] * trust[p[0]][y] for y in (0, 1)]
-            for i, v in enumerate(p[1:], 1):
+            like = list(weight)
+            for table, v in zip(tables, p, strict=True):
                 for y in (0, 1):
-                    like[y] *= tables[i][v][y] / weight[y]
+                    like[y] *= table[v][y] / weight[y]
             new[p] = like[1] / (like[0] + like[1])
         moved = max((abs(new[p] - post[p]) for p in new), default=0.0)
         post = new
@@ -277,11 +308,14 @@ def subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, most_labelled
     for r in texts.mapInArrow(read, "doc_id long, areas array<string>, own string").collect():
         rulings[r[0]] = [p.split("\t") for p in r[2].split("\n")] if r[2] else []
         labelled[r[0]] = set(r[1])
-    words = learn_lexicon(rulings, labelled)
+    if not labelled or not codes:
+        return spark.createDataFrame([], "doc_id long, subject_code string, probability double")
+    learned = learn_lexicon(rulings, labelled)
+    words, hints, passing = learned.words, learned.hints, learned.passing
     at = {a: i for i, a in enumerate(codes)}
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(words)
+        lexicon = Lexicon(words, hints, passing)
         for b in batches:
             ids, source, area, pattern = [], [], [], []
             for d, x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -290,30 +324,34 @@ def subjects(docs: DataFrame, labels: DataFrame, areas: DataFrame, most_labelled
                         ids.append(d)
                         source.append(x)
                         area.append(at[a])
-                        pattern.append(v[0] + 4 * v[1] + 8 * v[2])
+                        pattern.append(pack_votes(v))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(source, pa.string()), pa.array(area, pa.int32()), pa.array(pattern, pa.int32())], names=["doc_id", "source", "area", "pattern"])
 
     source = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
-    seen = docs.filter("doc_id is not null").select("doc_id", source.alias("source"), "text").mapInArrow(vote, "doc_id long, source string, area int, pattern int")
-    seen = s.table(seen)
+    given = docs.filter("doc_id is not null").select("doc_id", source.alias("source"), "text")
+    seen = s.table(spread(given).mapInArrow(vote, "doc_id long, source string, area int, pattern int"))
+    # Pairs of labelled documents, all areas of each: the label's vote.
+    index = F.create_map(*(F.lit(x) for kv in at.items() for x in kv))
+    own = known.select("doc_id", F.element_at(index, F.col("a")).alias("area"), F.lit(1).alias("label")).distinct()
+    every = F.explode(F.sequence(F.lit(0), F.lit(len(codes) - 1)))
+    asked = given.select("doc_id", "source").join(own.select("doc_id").distinct(), "doc_id").withColumn("area", every)
+    asked = asked.join(own, ["doc_id", "area"], "left").select("doc_id", "area", F.col("source").alias("source_"), F.coalesce("label", F.lit(0)).alias("label"))
+    pairs = seen.join(asked, ["doc_id", "area"], "full").select("doc_id", "area", F.coalesce("source", "source_").alias("source"), F.coalesce("pattern", F.lit(0)).alias("pattern"), F.coalesce("label", F.lit(UNLABELLED)).alias("label"))
+    pairs = s.table(pairs)
     # The source's vote: the area is more frequent in it than overall, by the lexicon's votes.
-    by_source = seen.groupBy("source", "area").agg(F.sum((F.col("pattern") % 4 >= 2).cast("int")).alias("k"))
-    sums = by_source.selectExpr("source", "area as ar", "k", "sum(k) over (partition by source) as n", "sum(k) over (partition by area) as m", "sum(k) over () as every")
-    more = sums.select(F.col("source").alias("src"), "ar", (F.col("k") * F.col("every") > F.col("n") * F.col("m")).cast("int").alias("more"))
-    both = seen.join(more, F.col("source").eqNullSafe(F.col("src")) & (F.col("area") == F.col("ar")), "left")
-    both = both.withColumn("pattern", F.col("pattern") + 16 * F.coalesce("more", F.lit(0))).select("doc_id", "area", "pattern")
-    unpack = lambda p: (p % 4, p // 4 % 2, p // 8 % 2, p // 16)
-    counts = Counter({unpack(r[0]): r[1] for r in both.groupBy("pattern").count().collect()})
-    # Pairs that no function sees have but the source's vote.
-    n_docs = docs.filter("doc_id is not null").select(source.alias("source")).groupBy("source").agg(F.count(F.lit(1)).alias("docs"))
-    n_seen = seen.groupBy("source", "area").agg(F.count(F.lit(1)).alias("c"))
-    every = n_docs.withColumn("area", F.explode(F.sequence(F.lit(0), F.lit(len(codes) - 1)))) if codes else n_docs.withColumn("area", F.lit(0)).limit(0)
-    rest = every.withColumnRenamed("source", "s").withColumnRenamed("area", "r").join(n_seen, F.col("s").eqNullSafe(F.col("source")) & (F.col("r") == F.col("area")), "left")
-    rest = rest.select("s", "r", (F.col("docs") - F.coalesce("c", F.lit(0))).alias("left")).join(more, F.col("s").eqNullSafe(F.col("src")) & (F.col("r") == F.col("ar")), "left")
-    for r in rest.groupBy(F.coalesce("more", F.lit(0)).alias("more")).agg(F.sum("left")).collect():
-        counts[0, 0, 0, r[0]] += max(0, r[1])
-    probability = fit_votes(counts.items(), lexicon_votes(rulings, labelled, codes, Lexicon(words)))
-    table = [(v[0] + 4 * v[1] + 8 * v[2] + 16 * v[3], p) for v, p in probability.items()]
-    decided = both.join(F.broadcast(spark.createDataFrame(table, "pattern int, probability double")), "pattern").filter(F.col("probability") > threshold)
-    code = F.element_at(F.array(*map(F.lit, codes)), F.col("area") + 1) if codes else F.lit(None).cast("string")
+    by_source = pairs.groupBy("source", "area").agg(F.sum((F.col("pattern") % VALUES[0] >= 6).cast("int")).alias("k"), F.count(F.lit(1)).alias("c"))
+    sums = by_source.selectExpr("source as src", "area as ar", "k", "c", "sum(k) over (partition by source) as n", "sum(k) over (partition by area) as m", "sum(k) over () as every")  # one row a source and area
+    more = sums.select("src", "ar", "c", (F.col("k") * F.col("every") > F.col("n") * F.col("m")).cast("int").alias("more"))
+    same = F.col("source").eqNullSafe(F.col("src")) & (F.col("area") == F.col("ar"))
+    place = pack_votes((0, 0, 0, 1)), pack_votes((0, 0, 0, 0, 1))
+    both = pairs.join(more, same, "left").select("doc_id", "area", (F.col("pattern") + F.coalesce("more", F.lit(0)) * place[0] + F.col("label") * place[1]).alias("pattern"))
+    counts = Counter({unpack_votes(r[0]): r[1] for r in both.groupBy("pattern").count().collect()})
+    # Pairs of documents without labels that no function sees have but the source's vote.
+    n_docs = given.groupBy("source").agg(F.count(F.lit(1)).alias("docs")).withColumn("area", every)
+    rest = n_docs.join(more, same, "left").groupBy(F.coalesce("more", F.lit(0)).alias("more")).agg(F.sum(F.col("docs") - F.coalesce("c", F.lit(0))).alias("left"))
+    for r in rest.collect():
+        counts[0, 0, 0, r[0], UNLABELLED] += max(0, r[1])
+    table = [(pack_votes(v), p) for v, p in fit_votes(counts.items()).items()]
+    decided = both.join(F.broadcast(spark.createDataFrame(table, "pattern int, probability double")), "pattern").filter(F.col("probability") > threshold)  # at most as many rows as there are patterns
+    code = F.element_at(F.array(*map(F.lit, codes)), F.col("area") + 1)
     return decided.groupBy("doc_id", "area").agg(F.max("probability").alias("probability")).select("doc_id", code.alias("subject_code"), "probability")

@@ -264,7 +264,28 @@ def test_subjects(spark):
     want = {(i, "medicine" if i % 3 == 0 else "transport") for i in range(90) if i % 3 < 2} | {(900, "medicine"), (900, "transport")}
     assert got == want
     assert subjects(docs.limit(0), labels, areas).isEmpty() and subjects(docs, labels.limit(0), areas).isEmpty()
-    assert learn_lexicon({}, {}) == {}
+    assert learn_lexicon({}, {}).words == {}
+
+
+def test_votes_are_weighed_together():
+    """A headnote decides where the lexicon doubts, because their agreement elsewhere has shown how far it can be trusted."""
+    from rillgraph.llm.subjects import fit_votes, pack_votes, unpack_votes
+
+    counts = {(9, 2, 0, 0, 2): 400, (9, 0, 0, 0, 2): 40, (0, 0, 0, 0, 2): 4000, (0, 2, 0, 0, 2): 20, (3, 2, 0, 0, 2): 30, (3, 0, 0, 0, 2): 60, (9, 2, 0, 0, 1): 30, (9, 0, 0, 0, 1): 8, (0, 0, 0, 0, 0): 300, (3, 0, 0, 0, 0): 9, (3, 2, 0, 0, 1): 3, (9, 2, 0, 0, 0): 1}
+    p = fit_votes(counts.items())
+    assert p[9, 0, 0, 0, 2] > 0.5 and p[0, 0, 0, 0, 2] < 0.01
+    assert p[3, 2, 0, 0, 2] > 0.5 > p[3, 0, 0, 0, 2]  # one naming sentence in both
+    assert p[9, 2, 0, 0, 0] > p[3, 0, 0, 0, 0]  # a label may be wrong
+    assert all(unpack_votes(pack_votes(v)) == v for v in p)
+    assert fit_votes([]) == {}
+
+
+def test_sentences_that_compare_are_learned():
+    own = {i: [["A tug left the harbour.", "The vessel met the harbour.", "It rained."], ["The bank paid late.", "The bank asked for interest.", f"Were the {'harbour' if i % 2 else 'vessel'} at issue, all would be otherwise."]] for i in range(60)}
+    more = {i: [["The bank paid late.", "The bank asked for interest.", "Nobody came."], ["Nobody came.", "Were the bank at issue, all would be otherwise."]] for i in range(60, 90)}
+    lexicon = learn_lexicon(own | more, {i: {"sea", "money"} if i < 60 else {"money"} for i in range(90)})
+    assert lexicon.marks("A tug met the harbour.")[0] == ("sea",)
+    assert "otherwise" in lexicon.passing and lexicon.marks("Were the tug at issue, all would be otherwise.")[0] == ()
 
 
 def test_queries_have_sql_or_are_tested():
