@@ -281,11 +281,16 @@ def test_votes_are_weighed_together():
 
 
 def test_sentences_that_compare_are_learned():
-    own = {i: [["A tug left the harbour.", "The vessel met the harbour.", "It rained."], ["The bank paid late.", "The bank asked for interest.", f"Were the {'harbour' if i % 2 else 'vessel'} at issue, all would be otherwise."]] for i in range(60)}
-    more = {i: [["The bank paid late.", "The bank asked for interest.", "Nobody came."], ["Nobody came.", "Were the bank at issue, all would be otherwise."]] for i in range(60, 90)}
-    lexicon = learn_lexicon(own | more, {i: {"sea", "money"} if i < 60 else {"money"} for i in range(90)})
-    assert lexicon.marks("A tug met the harbour.")[0] == ("sea",)
-    assert "otherwise" in lexicon.passing and lexicon.marks("Were the tug at issue, all would be otherwise.")[0] == ()
+    nouns = {"sea": [f"ship{c}" for c in "abcdefghijklmno"], "money": [f"bank{c}" for c in "abcdefghijklmno"]}
+    rulings, labels = {}, {}
+    for i in range(90):
+        own, other = ("sea", "money") if i % 2 else ("money", "sea")
+        mine = nouns[own]
+        rulings[i] = [[f"It was a {mine[i % 15]}.", f"No {mine[(i + 7) % 15]} was seen.", "It rained."] + [f"Were a {nouns[other][i // 6]} at issue, all would be otherwise."] * (i % 6 < 2)]
+        labels[i] = {own}
+    lexicon = learn_lexicon(rulings, labels)
+    assert lexicon.marks("It was a shipb.")[0] == ("sea",)
+    assert "otherwise" in lexicon.passing and lexicon.marks("Were a shipc at issue, all would be otherwise.")[0] == ()
 
 
 def test_queries_have_sql_or_are_tested():
