@@ -230,6 +230,12 @@ query("wang_hash", f"WITH k AS (SELECT o_orderkey AS id FROM orders), {wang('id'
 )
 
 
+query("finaliser_hash", f"""WITH k AS (SELECT o_orderkey AS id FROM orders), a AS (SELECT id, xor(id::UBIGINT, id::UBIGINT >> 30) AS h FROM k), b AS (SELECT id, ((h >> 32)::HUGEINT * {hashing.FINALISER[0]} % 4294967296 * 4294967296 + (h % 4294967296)::HUGEINT * {hashing.FINALISER[0]}) % {_M} AS h FROM a),
+c AS (SELECT id, xor(h::UBIGINT, h::UBIGINT >> 27) AS h FROM b), d AS (SELECT id, ((h >> 32)::HUGEINT * {hashing.FINALISER[1]} % 4294967296 * 4294967296 + (h % 4294967296)::HUGEINT * {hashing.FINALISER[1]}) % {_M} AS h FROM c) SELECT id, xor(h::UBIGINT, h::UBIGINT >> 31)::VARCHAR AS hash FROM d""")(
+    lambda s, d: hashing.with_finaliser(G.table(s, d, "orders").select(F.col("o_orderkey").alias("id")), "id").select("id", hashing.unsigned("h").cast("string").alias("hash"))
+)
+
+
 def _keys(spark: SparkSession, d: str) -> DataFrame:
     return G.table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"))
 
@@ -238,11 +244,13 @@ _CELLS = f"k AS (SELECT l_partkey AS id, count(*) AS n FROM lineitem GROUP BY 1)
 query("cms_estimate", f"WITH {_CELLS}, s AS (SELECT r, b, sum(n)::BIGINT AS cnt FROM c GROUP BY 1, 2) SELECT c.id, min(cnt) AS estimate FROM c JOIN s ON c.r = s.r AND c.b = s.b GROUP BY 1")(
     lambda s, d: sketches.count_min_estimate(sketches.count_min(_keys(s, d), "id", WIDTH, DEPTH), _keys(s, d), "id", WIDTH, DEPTH)
 )
-_SIGNED = f"{_CELLS}, {wang(f'xor(id, {DEPTH} + r)', 'g', 'c', 'id, n, r, b')}, x AS (SELECT id, n, r, b, CASE WHEN h % 2 = 1 THEN 1 ELSE -1 END AS sg FROM g), s AS (SELECT r, b, sum(n * sg)::BIGINT AS cnt FROM x GROUP BY 1, 2)"
+_SIGNED = f"{_CELLS}, {wang(f'xor(id, {DEPTH} + r)', 'g', 'c', 'id, n, r, b')}, x AS (SELECT id, n, r, b, CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END AS sg FROM g), s AS (SELECT r, b, sum(n * sg)::BIGINT AS cnt FROM x GROUP BY 1, 2)"
 query("count_sketch_estimate", f"WITH {_SIGNED}, v AS (SELECT x.id, list(cnt * sg ORDER BY cnt * sg) AS l FROM x JOIN s ON x.r = s.r AND x.b = s.b GROUP BY 1) SELECT id, floor((l[{DEPTH // 2}] + l[{DEPTH // 2 + 1}]) / 2)::BIGINT AS estimate FROM v")(
     lambda s, d: sketches.count_sketch_estimate(sketches.count_sketch(_keys(s, d), "id", WIDTH, DEPTH), _keys(s, d), "id", WIDTH, DEPTH)
 )
 
+query("count_sketch_table", f"WITH {_SIGNED} SELECT r::INTEGER AS row, b AS bucket, cnt FROM s")(lambda s, d: sketches.count_sketch(_keys(s, d), "id", WIDTH, DEPTH))
+
 
 @query("sketch_merge", f"WITH {_CELLS} SELECT r::INTEGER AS row, b AS bucket, sum(n)::BIGINT AS cnt FROM c GROUP BY 1, 2")
 def sketch_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -301,8 +309,70 @@ def message_distribution_run(spark: SparkSession, d: str) -> DataFrame:
     return placement.message_distribution(e, programs.senders(run), _agents(spark, d))
 
 
-query("split_edge_owner")(lambda s, d: placement.split_edge_owner(G.user_next(s, d), _agents(s, d), graph.degrees(G.user_next(s, d)).select("id", sketches.replicas("degree", 50).alias("k"))))
-query("rebalanced_agents")(lambda s, d: placement.rebalanced(G.user_next(s, d), _agents(s, d)))
+
+# The second ring written out: all k points of each edge's own end, of which the other end's hash picks one.
+_SPLIT_AT = 50
+
+
+def _split(own: str, other: str, name: str) -> str:
+    n = name
+    return f"""{n}e AS (SELECT e.src, e.dst, least(coalesce(kk.k, 1), (SELECT count(*) FROM rn)) AS k, a.rk AS p, b.h AS oh FROM e JOIN pos a ON a.id = e.{own} JOIN pos b ON b.id = e.{other} LEFT JOIN kk ON kk.id = e.{own}),
+{n}s AS (SELECT src, dst, oh, rn.h, agent_id, vagent FROM {n}e, LATERAL (SELECT unnest(range(k)) AS i), rn WHERE rn.rk = ({n}e.p + i) % (SELECT count(*) FROM rn)),
+{n} AS (SELECT src, dst, coalesce(arg_min({{'a': agent_id, 'v': vagent}}, h) FILTER (h >= oh), arg_max({{'a': agent_id, 'v': vagent}}, h)) AS x FROM {n}s GROUP BY src, dst)"""
+
+
+_VRING = f"ra AS (SELECT agent_id, coalesce(vagents, 100) AS vagents FROM agent WHERE agent_id IS NOT NULL), rp AS (SELECT agent_id, vagent FROM ra, LATERAL (SELECT unnest(range(vagents)) AS vagent)), {wang('agent_id | (vagent << 49)', 'rw', 'rp', 'agent_id, vagent')}, rn AS (SELECT *, row_number() OVER (ORDER BY h) - 1 AS rk FROM rw)"
+_POS = f"{wang('id', 'ik', 'v', 'id')}, pos AS (SELECT ik.id, ik.h, coalesce(rn.rk, (SELECT max(rk) FROM rn)) AS rk FROM ik ASOF LEFT JOIN rn ON ik.h <= rn.h), kk AS (SELECT a AS id, (count(*) // {_SPLIT_AT} + 1) AS k FROM (SELECT src AS a FROM e UNION ALL SELECT dst FROM e) GROUP BY 1)"
+_SPLITS = f"{_IDS}, {_VRING}, {_POS}"
+
+
+def _replicas(edges: DataFrame) -> DataFrame:
+    return graph.degrees(edges).select("id", sketches.replicas("degree", _SPLIT_AT).alias("k"))
+
+
+def _split_owner(side: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        e = Scratch(spark, "split").table(G.user_next(spark, d))
+        return placement.split_edge_owner(e, _agents(spark, d), _replicas(e), side=side)
+
+    return run
+
+
+query("split_edge_owner", f"WITH {_SPLITS}, {_split('dst', 'src', 'o')} SELECT src, dst, x.a AS agent, x.v::INTEGER AS vagent FROM o")(_split_owner("in"))
+query("split_edge_owner_out", f"WITH {_SPLITS}, {_split('src', 'dst', 'o')} SELECT src, dst, x.a AS agent, x.v::INTEGER AS vagent FROM o")(_split_owner("out"))
+
+
+@query("replica_agents", f"WITH {_SPLITS} SELECT pos.id, i::INTEGER AS slot, agent_id FROM pos JOIN kk ON kk.id = pos.id, LATERAL (SELECT unnest(range(least(kk.k, (SELECT count(*) FROM rn)))) AS i), rn WHERE rn.rk = (pos.rk + i) % (SELECT count(*) FROM rn)")
+def replica_agents(spark: SparkSession, d: str) -> DataFrame:
+    """The agents of each vertex by its degree, one and one more for each 50 edges."""
+    return placement.replica_agents(_replicas(Scratch(spark, "replicas").table(G.user_next(spark, d))), "id", _agents(spark, d), F.col("k")).select("id", "slot", "agent_id")
+
+
+_COPIES = "c AS (SELECT dst AS v, x, 1 AS i FROM o UNION ALL SELECT src, x, 0 FROM q), hd AS (SELECT x.a AS agent_id, v, count(*) AS n, sum(i) AS i, max(x.v) AS high FROM c GROUP BY 1, 2)"
+_REBALANCED = f"""{_COPIES}, pa AS (SELECT agent_id, sum(i)::BIGINT AS i, arg_max(high, n::HUGEINT * 4611686018427387904 - v) AS high FROM hd GROUP BY 1)
+ SELECT agent_id, CASE WHEN pa.i > 5 * (SELECT count(*) FROM e) // (SELECT count(*) FROM ra) // 4 THEN least(vagents, high + 1) ELSE vagents END::INTEGER AS vagents FROM ra LEFT JOIN pa USING (agent_id)"""
+query("rebalanced_agents", f"WITH {_SPLITS.replace(f'count(*) // {_SPLIT_AT} + 1', '1')}, {_split('dst', 'src', 'o')}, {_split('src', 'dst', 'q')}, {_REBALANCED}")(lambda s, d: placement.rebalanced(G.user_next(s, d), _agents(s, d)))
+
+
+@query("rebalanced_agents_split", f"WITH {_SPLITS}, {_split('dst', 'src', 'o')}, {_split('src', 'dst', 'q')}, {_REBALANCED}")
+def rebalanced_agents_split(spark: SparkSession, d: str) -> DataFrame:
+    e = Scratch(spark, "rebalanced").table(G.user_next(spark, d))
+    return placement.rebalanced(e, _agents(spark, d), replicas=_replicas(e))
+
+
+_PUSHED = f"""WITH {_OWN}, c AS (SELECT o_agent AS agent, dst AS v FROM e JOIN o ON o.id = dst UNION ALL SELECT o_agent, src FROM e JOIN o ON o.id = src), k AS (SELECT agent, v, count(*) AS n FROM c GROUP BY 1, 2),
+kr AS (SELECT agent, v, n, r.r AS r FROM k, range({DEPTH}) r(r)), {wang('xor(v, r)', 'w', 'kr', 'agent, v, n, r')}, b AS (SELECT *, (h % {WIDTH})::INTEGER AS b FROM w), s AS (SELECT agent, r, b, sum(n)::BIGINT AS cnt FROM b GROUP BY 1, 2, 3),
+m AS (SELECT b.agent, b.v, min(s.cnt) AS est FROM b JOIN s ON s.agent = b.agent AND s.r = b.r AND s.b = b.b GROUP BY 1, 2), g AS (SELECT agent FROM m GROUP BY 1 HAVING max(est) >= 120)
+SELECT r::INTEGER AS row, b AS bucket, sum(cnt)::BIGINT AS cnt FROM s WHERE agent IN (SELECT agent FROM g) GROUP BY 1, 2"""
+
+
+@query("pushed_sketch", _PUSHED)
+def pushed_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """What a load balance publishes: the sketches of agents with a vertex of some 120 edges or more."""
+    o = placement.edge_owner(G.user_next(spark, d), _agents(spark, d))
+    held = o.select(F.explode(F.array(F.struct(F.col("in_agent").alias("agent"), F.col("dst").alias("v")), F.struct(F.col("out_agent").alias("agent"), F.col("src").alias("v")))).alias("x")).select("x.*")
+    return placement.pushed_sketch(held, 120, WIDTH, DEPTH)
+
 
 # -- rates and policy -------------------------------------------------------------------------------------------------
 

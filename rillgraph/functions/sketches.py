@@ -22,26 +22,27 @@ def _cells(keys: DataFrame, key: str, width: int, depth: int, first: int = 0) ->
     return with_wang(rows, F.col(key).bitwiseXOR((F.col("row") + first).cast("long")), "__h")
 
 
-def _buckets(keys: DataFrame, key: str, width: int, depth: int) -> DataFrame:
+def cells(keys: DataFrame, key: str, width: int, depth: int) -> DataFrame:
+    """The rows of ``keys`` once for each row of a sketch, with ``row`` and ``bucket``."""
     return _cells(keys, key, width, depth).withColumn("bucket", F.col("__h").bitwiseAND(width - 1).cast("int")).drop("__h")
 
 
 def _signed(keys: DataFrame, key: str, width: int, depth: int) -> DataFrame:
-    cells = _buckets(keys, key, width, depth)
-    signs = with_wang(cells, F.col(key).bitwiseXOR((F.col("row") + depth).cast("long")), "__h")
-    return signs.withColumn("sign", F.when(F.col("__h").bitwiseAND(1) == 1, 1).otherwise(-1)).drop("__h")
+    found = cells(keys, key, width, depth)
+    signs = with_wang(found, F.col(key).bitwiseXOR((F.col("row") + depth).cast("long")), "__h")
+    return signs.withColumn("sign", F.when(F.col("__h").bitwiseAND(1) == 0, 1).otherwise(-1)).drop("__h")
 
 
 def count_min(keys: DataFrame, key: str, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
     """The count-min sketch of a column; nulls do not count.  Keys are first counted, so a frequent key is hashed once a task."""
     n = keys.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return _buckets(n, key, width, depth).groupBy("row", "bucket").agg(F.sum("n").alias("cnt"))
+    return cells(n, key, width, depth).groupBy("row", "bucket").agg(F.sum("n").alias("cnt"))
 
 
 def count_min_estimate(sketch: DataFrame, keys: DataFrame, key: str, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
     """``(key, estimate)`` of each distinct key: the least of its counters, never below the true count."""
-    cells = _buckets(keys.select(key).filter(F.col(key).isNotNull()).distinct(), key, width, depth).join(F.broadcast(sketch) if width * depth <= 1 << 21 else sketch, ["row", "bucket"], "left")
-    return cells.groupBy(key).agg(F.min(F.coalesce("cnt", F.lit(0))).alias("estimate"))
+    found = cells(keys.select(key).filter(F.col(key).isNotNull()).distinct(), key, width, depth).join(F.broadcast(sketch) if width * depth <= 1 << 21 else sketch, ["row", "bucket"], "left")
+    return found.groupBy(key).agg(F.min(F.coalesce("cnt", F.lit(0))).alias("estimate"))
 
 
 def count_sketch(keys: DataFrame, key: str, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
@@ -52,8 +53,8 @@ def count_sketch(keys: DataFrame, key: str, width: int = WIDTH, depth: int = DEP
 
 def count_sketch_estimate(sketch: DataFrame, keys: DataFrame, key: str, width: int = WIDTH, depth: int = DEPTH) -> DataFrame:
     """``(key, estimate)``: the median of its signed counters, for an even depth the mean of the middle two rounded down."""
-    cells = _signed(keys.select(key).filter(F.col(key).isNotNull()).distinct(), key, width, depth).join(F.broadcast(sketch) if width * depth <= 1 << 21 else sketch, ["row", "bucket"], "left")
-    values = cells.groupBy(key).agg(F.sort_array(F.collect_list(F.coalesce("cnt", F.lit(0)) * F.col("sign"))).alias("s"))
+    found = _signed(keys.select(key).filter(F.col(key).isNotNull()).distinct(), key, width, depth).join(F.broadcast(sketch) if width * depth <= 1 << 21 else sketch, ["row", "bucket"], "left")
+    values = found.groupBy(key).agg(F.sort_array(F.collect_list(F.coalesce("cnt", F.lit(0)) * F.col("sign"))).alias("s"))
     mid = F.element_at("s", depth // 2 + 1) if depth % 2 else F.floor((F.element_at("s", depth // 2) + F.element_at("s", depth // 2 + 1)) / 2)
     return values.select(key, mid.cast("long").alias("estimate"))
 
