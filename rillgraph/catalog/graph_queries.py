@@ -71,9 +71,9 @@ def transpose_check(spark: SparkSession, d: str) -> DataFrame:
     return graph.transpose_check(e, graph.transpose(e.filter("(src + dst) % 5 <> 0")))
 
 
-query("adjacency_dump", f"WITH e AS ({G.PART_SUPP}) SELECT src AS id, src || chr(9) || count(*) || ' ' || string_agg(dst, ' ' ORDER BY dst) AS line FROM e GROUP BY src")(lambda s, d: graph.adjacency_lines(G.part_supp(s, d)).select("id", "line"))
+query("adjacency_dump", f"WITH e AS ({G.PART_SUPP}) SELECT src AS id, src || chr(9) || count(*) || ' ' || string_agg(dst, ' ' ORDER BY dst) AS line FROM e GROUP BY src")(lambda s, d: graph.adjacency_lines(G.part_supp(s, d)))
 query("sym_adjacency_dump", f"WITH e AS ({G.USER_NEXT}), k AS (SELECT src AS a, dst AS b, 0 AS i FROM e UNION ALL SELECT dst, src, 1 FROM e) SELECT a AS id, a || chr(9) || count(*) || ' ' || string_agg(b, ' ' ORDER BY i, b) AS line FROM k GROUP BY a")(
-    lambda s, d: graph.adjacency_lines(G.user_next(s, d), symmetric=True).select("id", "line")
+    lambda s, d: graph.adjacency_lines(G.user_next(s, d), symmetric=True)
 )
 
 # -- changes ----------------------------------------------------------------------------------------------------------

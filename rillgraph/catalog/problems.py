@@ -18,7 +18,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return split_records(_t(spark, d, "edge_line"))[0].select("line_id", "op", "src", "dst", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("ts", F.lit(-1)).alias("ts"))
+    return split_records(_t(spark, d, "edge_line"))[0].select("line_id", "op", "src", "dst", F.coalesce("weight", F.lit(0.0)).alias("weight"), F.coalesce("ts", F.lit(-1)).alias("ts"), F.col("weight").isNotNull().alias("has_weight"), F.col("ts").isNotNull().alias("has_ts"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +56,7 @@ _PAIRS = "WITH p AS (SELECT DISTINCT src, dst FROM edge WHERE src >= 0 AND dst >
 
 SQL = {
     "p2_found": f"{_RECORDS} SELECT line_id, reason FROM g WHERE reason IS NOT NULL",
-    "p2_loaded": f"{_RECORDS} SELECT line_id, o::INTEGER AS op, s AS src, d AS dst, coalesce(w, 0) AS weight, coalesce(u, -1) AS ts FROM g WHERE reason IS NULL",
+    "p2_loaded": f"{_RECORDS} SELECT line_id, o::INTEGER AS op, s AS src, d AS dst, coalesce(w, 0) AS weight, coalesce(u, -1) AS ts, w IS NOT NULL AS has_weight, u IS NOT NULL AS has_ts FROM g WHERE reason IS NULL",
     "p3_found": f"{_PAIRS} SELECT 'src' AS side, src AS vertex_id FROM p GROUP BY src HAVING count(*) >= 25 UNION ALL SELECT 'dst', dst FROM p GROUP BY dst HAVING count(*) >= 25",
     "p3_neighbours": f"{_PAIRS} SELECT coalesce(a.v, b.v) AS vertex_id, coalesce(o, 0)::BIGINT AS n_out, coalesce(i, 0)::BIGINT AS n_in FROM (SELECT src v, count(*) o FROM p GROUP BY 1) a FULL JOIN (SELECT dst v, count(*) i FROM p GROUP BY 1) b ON a.v = b.v",
     "p3_quantiles": f"""{_PAIRS}, s AS (SELECT 'src' AS side, src AS vertex_id, dst AS x FROM p UNION ALL SELECT 'dst', dst, src FROM p),

@@ -56,16 +56,13 @@ def transpose_check(edges: DataFrame, reverse: DataFrame) -> DataFrame:
     return missing.unionByName(back.join(edges, ["src", "dst"], "left_anti").withColumn("missing", F.lit("edge")))
 
 
-def adjacency_lines(edges: DataFrame, symmetric: bool = False, most: int = 10_000) -> DataFrame:
-    """``(id, part, line)``: ``id<tab>degree n1 n2 ...``, neighbours sorted; with ``symmetric`` the out-neighbours, then the in-neighbours.
+def adjacency_lines(edges: DataFrame, symmetric: bool = False) -> DataFrame:
+    """``(id, line)``: ``id<tab>degree n1 n2 ...``, neighbours sorted; with ``symmetric`` the out-neighbours, then the in-neighbours.
 
-    A vertex with more than ``most`` neighbours continues in further parts, whose
-    lines hold neighbours only, so that no line outgrows a task.
+    The format puts all neighbours of a vertex into one line, whatever their
+    number, so a vertex's line is one value; ``edge_lines`` has no such rows.
     """
     e = ends(edges) if symmetric else edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1).alias("out"))
-    n = e.groupBy("a").agg(F.count(F.lit(1)).alias("deg"))
-    slot = F.when(F.col("deg") <= most, F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("deg") / most)).cast("int"))
-    parts = e.join(n, "a").groupBy("a", "deg", slot.alias("part")).agg(F.sort_array(F.collect_list(F.struct((1 - F.col("out")).alias("i"), "b"))).alias("l"))
+    each = e.groupBy("a").agg(F.sort_array(F.collect_list(F.struct((1 - F.col("out")).alias("i"), "b"))).alias("l"))
     names = F.array_join(F.transform("l", lambda x: x["b"].cast("string")), " ")
-    line = F.when(F.col("part") == 0, F.concat(F.col("a").cast("string"), F.lit("\t"), F.col("deg").cast("string"), F.lit(" "), names)).otherwise(F.concat(F.col("a").cast("string"), F.lit("\t"), names))
-    return parts.select(F.col("a").alias("id"), "part", line.alias("line"))
+    return each.select(F.col("a").alias("id"), F.concat(F.col("a").cast("string"), F.lit("\t"), F.size("l").cast("string"), F.lit(" "), names).alias("line"))

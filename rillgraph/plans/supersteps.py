@@ -2,7 +2,8 @@
 
 The graph's paths ``(u, w)`` are partitioned by the sending vertex once and kept
 so for all supersteps; vertices that hold more than a thousandth of the paths are
-spread over salts.  A superstep joins the states of the senders, combines what
+spread over salts; without such vertices the combined states already lie where
+their paths do, and a superstep has one shuffle.  A superstep joins the states of the senders, combines what
 each receiver gets on the map side, and shuffles that only.  Every vertex has a
 path of no length to itself (``self``), which carries its own state along, so one
 join a superstep is enough and a state is named once in the plan.  Therefore
@@ -15,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -62,20 +63,29 @@ class PartitionedGraph:
         self.n_vertices = scratch.seen["rows"]
         paths = ends(edges).select(F.col("a").alias("u"), F.col("b").alias("w")) if undirected else edges.select(F.col("src").alias("u"), F.col("dst").alias("w"))
         paths = paths.withColumn("self", F.lit(False)).unionByName(self.vertices.select(F.col("id").alias("u"), F.col("id").alias("w"), F.lit(True).alias("self")))
-        self.hot = hot_keys(self.vertices, "id", "degree", 2 * self.n_edges) if self.n_edges > 100_000 else []
-        self.paths = add_salt(paths, "u", F.col("w"), self.hot).repartition(partitions(self.spark), "u", "__salt").sortWithinPartitions("u", "__salt").persist(StorageLevel.MEMORY_AND_DISK)
+        # What counts is how many paths a vertex sends along.
+        sent = ("degree", 2 * self.n_edges) if undirected else ("out_degree", self.n_edges)
+        self.hot = hot_keys(self.vertices, "id", *sent) if self.n_edges > 100_000 else []
+        self.on = ["u", "__salt"] if self.hot else ["u"]
+        paths = add_salt(paths, "u", F.col("w"), self.hot) if self.hot else paths
+        self.paths = paths.repartition(partitions(self.spark), *self.on).sortWithinPartitions(*self.on).persist(StorageLevel.MEMORY_AND_DISK)
 
     def received(self, state: DataFrame, message: Column) -> DataFrame:
         """``(id, message, self)`` plus the columns of the receiver's path, for one superstep."""
-        sent = explode_salts(state.withColumnRenamed("id", "u"), "u", self.hot)
-        return self.paths.join(sent, ["u", "__salt"]).select(F.col("w").alias("id"), message.alias("message"), "self", *[c for c in state.columns if c != "id"])
+        sent = state.withColumnRenamed("id", "u")
+        sent = explode_salts(sent, "u", self.hot) if self.hot else sent
+        return self.paths.join(sent, self.on).select(F.col("w").alias("id"), message.alias("message"), "self", *[c for c in state.columns if c != "id"])
 
     def close(self) -> None:
         self.paths.unpersist()
 
 
 def run(program: VertexProgram, edges: DataFrame, keep_history: bool = False, most: int | None = None) -> Result:
-    """Runs supersteps until no state changes, or ``most`` of them where that is given; tests after each written chunk."""
+    """Runs supersteps until one changes no state, or ``most`` of them where that is given.
+
+    States are written once a chunk; how many each superstep of it changed is
+    observed on the way, so ``supersteps`` counts to the one that changed none.
+    """
     s = Scratch(edges.sparkSession, "supersteps")
     g = PartitionedGraph(edges, program.undirected, s)
     most = program.most if most is None else most
@@ -83,11 +93,14 @@ def run(program: VertexProgram, edges: DataFrame, keep_history: bool = False, mo
     steps, converged, history = 0, g.n_vertices == 0, [state]
     while not converged and (most is None or steps < most):
         k = 1 if keep_history else program.chunk if most is None else min(program.chunk, most - steps)
+        seen = []
         for _ in range(k):
-            state = program.combine(g.received(state.drop("before"), program.message()))
-        new = s.table(state, changed=F.count(F.when(~F.col("value").eqNullSafe(F.col("before")), 1)))
-        converged = s.seen["changed"] == 0
-        steps += k
+            seen.append(Observation())
+            state = program.combine(g.received(state.drop("before"), program.message())).observe(seen[-1], F.count(F.when(~F.col("value").eqNullSafe(F.col("before")), 1)).alias("changed"))
+        new = s.table(state)
+        changed = [x.get["changed"] for x in seen]
+        converged = 0 in changed
+        steps += changed.index(0) + 1 if converged else k
         if not keep_history:
             s.drop(*history)
             history = []

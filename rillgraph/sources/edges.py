@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Scratch
 from .records import BLANK, LAYOUTS, NUMBER
 
 #: Messages of the strict parser.
@@ -45,18 +48,38 @@ def parse_lines(lines: DataFrame, layout: str, strict: bool = True, value: str =
     return rows.select(*keep, *typed, F.when(~ok, F.col("_t")).alias("_corrupt"), F.when(~ok, F.col("_error")).alias("_reason"))
 
 
+def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """``(path, bytes)`` of a file, or of a folder's files in the order of their names."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return sorted((f.getPath().toString(), f.getLen()) for f in found if not f.isDirectory() and f.getPath().getName()[0] not in "._")
+
+
 def read_edges(spark: SparkSession, files: list[tuple[str, str]] | list[str], strict: bool = True) -> DataFrame:
-    """Changes of several files in their order: ``(path, layout)`` pairs, or paths of ``el`` files.
+    """Changes of several files or folders in their order: ``(path, layout)`` pairs, or paths of ``el`` files.
 
-    ``seq`` orders changes by file and place in the file, so that the last change
-    of an edge is well defined; text files are split among tasks.
+    ``seq decimal(38,0)`` orders changes by file, a folder's files by name, and by
+    the place in the file, so that the last change of an edge is well defined:
+    the bytes before a split of a file, and the row in it.  Each layout is one
+    scan, whose files are split among tasks.  A file given twice is read once,
+    at its last place.
     """
     pairs = [(f, "el") if isinstance(f, str) else f for f in files]
-    out = None
+    if not pairs:
+        raise ValueError("no files")
+    known, before = {}, 0
     for i, (path, layout) in enumerate(pairs):
-        # Within one file ids rise with the offset of the split and the line in it.
-        lines = spark.read.text(path).withColumn("seq", F.lit(i << 52) + F.monotonically_increasing_id()).withColumn("file_no", F.lit(i))
-        rows = parse_lines(lines, layout, strict)
+        for name, size in _files(spark, path):
+            known[name] = (re.sub("^file:/+", "file:/", name), layout, i, before)
+            before += size + 1
+    out = None
+    for layout in sorted({x[1] for x in known.values()}):
+        mine = {name: x for name, x in known.items() if x[1] == layout}
+        places = spark.createDataFrame([(x[0], x[2], x[3]) for x in mine.values()], "__path string, file_no int, __before long")
+        lines = spark.read.text(list(mine)).select("value", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("__path"), F.col("_metadata.file_block_start").alias("__start"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__row"))
+        lines = lines.join(F.broadcast(places), "__path")  # one row a file
+        seq = (F.col("__before") + F.col("__start")).cast("decimal(28,0)") * F.lit(1 << 33).cast("decimal(11,0)") + F.col("__row")
+        rows = parse_lines(lines.select("value", "file_no", seq.cast("decimal(38,0)").alias("seq")), layout, strict)
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         raise ValueError("no files")
@@ -85,14 +108,28 @@ def random_graph(spark: SparkSession, vertices: int, edges: int, rank: int = 0,
     room = slice_ * (vertices - (0 if allow_self_loops else 1))
     if want > room * 0.9:
         raise ValueError("too many edges for so few vertices: use a better random graph model")
-    draws, out = int(want * 1.2 + 50), None
+    draws = int(want * 1.2 + 50)
+    scratch = Scratch(spark, "random")
     while True:
         ids = spark.range(draws)
         src = F.pmod(F.xxhash64(F.lit(seed), F.lit(rank), "id", F.lit(0)), F.lit(slice_)) + rank * slice_
         dst = F.pmod(F.xxhash64(F.lit(seed), F.lit(rank), "id", F.lit(1)), F.lit(vertices))
         e = ids.select("id", src.alias("src"), dst.alias("dst"))
         e = e if allow_self_loops else e.filter("src <> dst")
-        out = e.groupBy("src", "dst").agg(F.min("id").alias("id"))
-        if out.count() >= want:
-            return out.orderBy("id").limit(want).select("src", "dst")
+        first = scratch.table(e.groupBy("src", "dst").agg(F.min("id").alias("id")))
+        if scratch.seen["rows"] >= want:
+            break
+        scratch.drop(first)
         draws *= 2
+    # The first ``want`` draws that are new: whole blocks of draws, and part of the one in which the number is reached.
+    block = max(1, draws // 1000)
+    upto = 0
+    for b, n in sorted(first.groupBy(F.floor(F.col("id") / block)).count().collect()):  # a thousand rows or so
+        if upto + n >= want:
+            inside = sorted(r.id for r in first.filter((F.col("id") >= b * block) & (F.col("id") < (b + 1) * block)).select("id").collect()) if block <= 100_000 else None
+            if inside is None:
+                inside = [r[0] for r in first.filter((F.col("id") >= b * block) & (F.col("id") < (b + 1) * block)).select("id").orderBy("id").limit(want - upto).select(F.max("id")).collect()]
+                return first.filter(F.col("id") <= inside[0]).select("src", "dst")
+            return first.filter(F.col("id") <= inside[want - upto - 1]).select("src", "dst")
+        upto += n
+    return first.select("src", "dst")

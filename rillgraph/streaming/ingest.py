@@ -62,19 +62,21 @@ class SnapshotStore:
 def stream_lines(spark: SparkSession, folder: str, layout: str = "dyn", files_per_batch: int = 1) -> DataFrame:
     """A stream of the changes in a folder's files, ``files_per_batch`` files a batch in the order of their times."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(folder)
-    return parse_lines(lines, layout, strict=False).filter("_corrupt is null")
+    place = F.struct(*(F.col(f"_metadata.{c}").alias(c) for c in ("file_modification_time", "file_path", "file_block_start")))
+    return parse_lines(lines.select("value", place.alias("place")), layout, strict=False).filter("_corrupt is null")
 
 
 def ingest(stream: DataFrame, store: SnapshotStore, checkpoint: str, every: str | None = None, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Applies each micro-batch of ``stream (seq?, op, src, dst)`` to the store, then calls ``then(snapshot, batch)``.
 
-    Without ``seq`` the order of rows within a batch decides.  ``every`` is a
+    Without ``seq`` the order of rows within a batch decides, by file and place in the file where ``place`` tells them.  ``every`` is a
     processing-time trigger; without it all that is there is taken and the query ends.
     """
 
     def batch(df: DataFrame, batch_id: int) -> None:
         if "seq" not in df.columns:
-            df = df.withColumn("seq", F.monotonically_increasing_id())
+            row = F.monotonically_increasing_id()
+            df = df.withColumn("seq", F.struct("place.*", row.alias("row")) if "place" in df.columns else row)
         store.apply(df, batch_id)
         if then:
             then(store.read(batch_id), batch_id)
