@@ -9,7 +9,8 @@ are never brought together unless the range has at most ``FEW`` of them.
 At scale: counts replace values, so a round shuffles at most ``BINS`` rows for
 each hot key and map task.  Keys with few values are settled without any round.
 The open ranges belong to keys with more than ``FEW`` values; they are broadcast
-while there are at most ``BROADCAST`` of them and joined with salts beyond.
+while there are at most ``BROADCAST`` of them and joined beyond, with salts in
+proportion to the key's rows.
 """
 
 from __future__ import annotations
@@ -20,31 +21,36 @@ from pyspark.sql.window import Window
 
 from ..session import Scratch
 
-BINS, FEW, BROADCAST, SALTS = 256, 2048, 20_000, 32
+BINS, FEW, BROADCAST, SHARE = 256, 2048, 20_000, 1000
 
 
-def _with_ranges(values: DataFrame, ranges: DataFrame, n: int) -> DataFrame:
-    """Values that lie within a range of their key."""
+def _with_ranges(values: DataFrame, ranges: DataFrame, n: int, hot: DataFrame) -> DataFrame:
+    """Values that lie within a range of their key; beyond BROADCAST ranges ``hot (k, salts)`` keys are spread in proportion to their rows."""
     if n <= BROADCAST:
         out = values.join(F.broadcast(ranges), "k")
     else:
-        spread = values.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-        out = spread.join(ranges.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["k", "s"]).drop("s")
+        left = values.join(F.broadcast(hot), "k", "left").withColumn("s", F.pmod(F.xxhash64("v", F.monotonically_increasing_id()), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        right = ranges.join(F.broadcast(hot), "k", "left").withColumn("s", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        out = left.join(right, ["k", "s"]).drop("s")
     return out.filter("v between lo and hi")
 
 
 def select_ranks(pairs: DataFrame, ranks: Column, key: str = "k", value: str = "v", bins: int = BINS, few: int = FEW) -> DataFrame:
     """``(k, n, rank, v)``: for each key its number of values and its ``rank``-th smallest value, for each of ``ranks``.
 
-    ``ranks`` is an array column over ``k`` and ``n``; ranks beyond ``1..n`` and
-    nulls in it are left out.  Values are bigints; rows with a null key or value
+    ``ranks`` is an array column over ``k`` and ``n``; nulls in it and ranks below
+    1 are left out, and a rank that no value of the key has gives no row: it is
+    the selection that finds that out, not a count beforehand.  Values are bigints; rows with a null key or value
     do not count.  Repeated values count as often as they occur, so ties have
     ranks of their own.  Of an empty table the result is empty.
     """
     s = Scratch(pairs.sparkSession, "ranks")
     values = pairs.select(F.col(key).alias("k"), F.col(value).cast("long").alias("v")).filter("k is not null and v is not null")
-    stats = s.table(values.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")))
-    wanted = stats.withColumn("rank", F.explode(F.array_distinct(ranks))).filter("rank between 1 and n").withColumn("rank", F.col("rank").cast("long"))
+    stats = s.table(values.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), total=F.sum("n"))
+    # Keys of a thousandth of all values or more, of which there are at most a thousand.
+    least = max(few + 1, -(-(s.seen["total"] or 0) // SHARE))
+    hot = stats.filter(F.col("n") >= least).select("k", F.ceil(F.col("n") / least).cast("int").alias("salts"))
+    wanted = stats.withColumn("rank", F.explode(F.array_distinct(ranks))).filter("rank >= 1").withColumn("rank", F.col("rank").cast("long"))
     # r: the rank within the range; m: the number of values in it.
     ranges = s.table(wanted.select("k", "n", "rank", F.col("rank").alias("r"), F.col("n").alias("m"), "lo", "hi"), open=F.count(F.when((F.col("n") > few) & (F.col("lo") < F.col("hi")), 1)))
     n_open = s.seen["open"]
@@ -54,7 +60,7 @@ def select_ranks(pairs: DataFrame, ranks: Column, key: str = "k", value: str = "
     one = [settled[0].filter(f"n > {few}")]  # the key has many equal values only
     todo = ranges.filter(is_open)
     while n_open:
-        inside = _with_ranges(values, todo, n_open)
+        inside = _with_ranges(values, todo, n_open, hot)
         width = F.floor((F.col("hi").cast("decimal(20,0)") - F.col("lo")) / bins).cast("long") + 1
         bin_ = F.floor((F.col("v").cast("decimal(20,0)") - F.col("lo")) / F.col("width")).cast("int")
         counts = inside.withColumn("width", width).groupBy("k", "n", "rank", "r", "lo", "hi", "width", bin_.alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
@@ -71,16 +77,17 @@ def select_ranks(pairs: DataFrame, ranks: Column, key: str = "k", value: str = "
         last = last.unionByName(x)
     last = s.table(last, few=F.count(F.when(F.col("lo") < F.col("hi"), 1)))
     n_few = s.seen["few"]
-    equal = last.filter("lo = hi").select("k", "n", "rank", F.col("lo").alias("v"))
-    near = _with_ranges(values, last.filter("lo < hi"), n_few)
+    equal = last.filter("lo = hi and r <= m").select("k", "n", "rank", F.col("lo").alias("v"))
+    near = _with_ranges(values, last.filter("lo < hi"), n_few, hot)
     at = F.row_number().over(Window.partitionBy("k", "rank").orderBy("v"))
     near = near.withColumn("at", at).filter("at = r").select("k", "n", "rank", "v")
-    # Keys of few values: the values of the other keys never enter the shuffle's groups.
+    # Keys of few values: hot keys' values never enter the shuffle's groups, nor those of other large keys where their list is short.
     by_key = cold.groupBy("k").agg(F.first("n").alias("n"), F.collect_list(F.struct("rank")).alias("ranks"))
-    hot = last.select("k").distinct()
-    some = values.join(F.broadcast(hot), "k", "left_anti") if s.seen["rows"] <= BROADCAST else values
-    some = some.join(by_key.select("k"), "k", "left_semi").groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("all"))
-    cold = some.join(by_key, "k").select("k", "n", "all", F.explode("ranks").alias("x")).select("k", "n", F.col("x.rank").alias("rank"), F.element_at("all", F.col("x.rank").cast("int")).alias("v"))
+    large = stats.filter(F.col("n") > few).select("k") if s.seen["rows"] <= BROADCAST else hot.select("k")
+    some = values.join(F.broadcast(large), "k", "left_anti").join(by_key.select("k"), "k", "left_semi")
+    some = some.groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("all"))  # at most ``few`` values
+    cold = some.join(by_key, "k").select("k", "n", "all", F.explode("ranks").alias("x")).select("k", "n", F.col("x.rank").alias("rank"), F.get("all", F.col("x.rank").cast("int") - 1).alias("v"))
+    cold = cold.filter("v is not null")
     return cold.unionByName(equal).unionByName(near)
 
 
