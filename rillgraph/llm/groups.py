@@ -121,13 +121,14 @@ def _rest(rate: float, rounds: int, seed: int):
     return run
 
 
-def link_groups(pairs: DataFrame, left: str = "src", right: str = "dst", seed: int = 17, schedule: tuple[tuple[float, int], ...] = SCHEDULE) -> DataFrame:
+def link_groups(pairs: DataFrame, left: str = "src", right: str = "dst", seed: int = 17, schedule: tuple[tuple[float, int], ...] = SCHEDULE, one_task: int | None = None) -> DataFrame:
     """``(vertex_id, group_id)`` for each id of the pairs; ``group_id`` is the smallest id of the group.
 
     Rows with a null or negative end give neither vertices nor links.  A row
     that links an id with itself gives a vertex.  Repeated, reversed and
     parallel rows change nothing; other columns, whatever their names, are not
-    read.  Of an empty table the result is empty.
+    read.  ``one_task`` is the number of links from which on the further levels
+    run in one task (``ONE_TASK``); with 0 every level is distributed.  Of an empty table the result is empty.
     """
     spark = pairs.sparkSession
     s = Scratch(spark, "groups")
@@ -136,7 +137,8 @@ def link_groups(pairs: DataFrame, left: str = "src", right: str = "dst", seed: i
     n_links = s.seen["rows"] - s.seen["loops"]
     links = all_links.filter("a <> b")
     levels: list[tuple[DataFrame, int]] = []
-    while n_links > ONE_TASK:
+    one_task = ONE_TASK if one_task is None else one_task
+    while n_links > one_task:
         rate, rounds = schedule[min(len(levels), len(schedule) - 1)]
         clusters, n, crossing, n_links = _decompose(s, links, n_links, len(levels), rate, rounds, seed)
         levels.append((clusters, n))

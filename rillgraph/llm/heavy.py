@@ -4,18 +4,18 @@ A heavy-light sketch.  Each partition keeps a *heavy* part, a fixed number of
 buckets with a few exact slots each, and a *light* part, a compact array of
 counters.  A value that meets a full bucket votes against its weakest slot;
 when the votes reach ``EVICT`` times the slot's count, the slot's count is moved
-to the light part and the value takes its place.  Partitions merge by adding
-slots of the same bucket and value and light counters of the same index.
+to the light part and the value takes its place.  Partitions merge by bucket
+recombination: the slots of a bucket add up by value, the strongest stay and the
+others are evicted to the light part, in a tree of ``TREE`` sketches a merge.
 
 ``heavy count + light counter`` is never below the true count, since every row
-of a value is either in one of its slots or in its light counter.  So the values
-whose estimate reaches a share of the rows include all that truly do, if they
-hold a slot anywhere.  A value with that share of all rows has it in at least one
-partition, where it loses its slot only to ``SLOTS`` values in the same bucket
-with still more rows.
+of a value is either in its slot or in its light counter.  A value that reaches a
+share of the rows and holds no slot fills its light counter to that share, which
+is how the exact count finds it.
 
 At scale: one pass over one column; a partition sends at most ``BUCKETS *
-SLOTS`` slots and ``LIGHT`` counters however many rows it has.
+SLOTS`` slots and ``LIGHT`` counters however many rows it has, and a merged sketch
+is no larger.
 """
 
 from __future__ import annotations
@@ -26,11 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions.hashing import with_finaliser
 from ..session import Scratch
 from ..types import valid
 
 BUCKETS, SLOTS, LIGHT, EVICT = 1024, 4, 1 << 15, 8
+#: Sketches that one merge takes, and candidates that are broadcast, at most.
+TREE, FEW = 256, 100_000
 
 
 def _mix(values: np.ndarray) -> np.ndarray:
@@ -95,63 +99,95 @@ def _sketch(fields: list[str], buckets: int, slots: int, light: int, evict: int)
             b, k = np.nonzero(s.count)
             c = np.flatnonzero(s.light)
             names, n = [fields[f]] * (len(b) + len(c)), len(c)
+            held = s.value[b, k]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(names, pa.string()),
-                    pa.array(np.r_[np.ones(len(b), bool), np.zeros(n, bool)]),
-                    pa.array(np.r_[s.value[b, k], c]),
+                    pa.array(np.r_[b, np.full(n, -1)]),
+                    pa.array(np.r_[held, np.zeros(n, np.int64)]),
+                    pa.array(np.r_[s.light_index(held), c]),
                     pa.array(np.r_[s.count[b, k], s.light[c]]),
                 ],
-                names=["field", "heavy", "k", "n"],
+                names=["field", "bucket", "k", "at", "n"],
             )
 
     return run
 
 
-def heavy_light(df: DataFrame, fields: list[str], buckets: int = BUCKETS, slots: int = SLOTS, light: int = LIGHT, evict: int = EVICT) -> DataFrame:
-    """``(field, heavy, k, n)``: merged slots (``k`` a value) and light counters (``k`` an index) of each field.
+_SLOT = "field string, bucket long, k long, at long, n long"
+
+
+def _recombined(parts: DataFrame, slots: int, tasks: int) -> DataFrame:
+    """Sketches, told apart by ``task``, merged in groups of ``tasks``: a bucket's values add up, its ``slots`` strongest stay and the others fall into the light counters."""
+    parts = parts.withColumn("task", F.floor(F.col("task") / tasks))
+    sums = parts.groupBy("task", "field", "bucket", "k", "at").agg(F.sum("n").alias("n"))
+    # A bucket has at most slots * tasks values here; light counters, of bucket -1, need no order.
+    rank = F.row_number().over(Window.partitionBy("task", "field", "bucket").orderBy(F.desc("n"), "k"))
+    heavy = sums.filter("bucket >= 0").withColumn("out", rank > slots)
+    kept = heavy.withColumn("bucket", F.when(F.col("out"), -1).otherwise(F.col("bucket"))).withColumn("k", F.when(F.col("out"), 0).otherwise(F.col("k"))).drop("out")
+    merged = kept.unionByName(sums.filter("bucket < 0").select(kept.columns))
+    return merged.groupBy("task", "field", "bucket", "k", "at").agg(F.sum("n").alias("n"))
 
-    Null and negative values are not counted.  Columns that are not in
-    ``fields`` are not read, whatever their names.
+
+def heavy_light(df: DataFrame, fields: list[str], buckets: int = BUCKETS, slots: int = SLOTS, light: int = LIGHT, evict: int = EVICT) -> DataFrame:
+    """``(field, bucket, k, at, n)``: the merged sketch of each field.
+
+    Rows of a ``bucket`` are its slots (``k`` a value, ``at`` its light counter),
+    at most ``slots`` of them; rows of bucket -1 are light counters.  Tasks'
+    sketches are merged as a tree, ``TREE`` at a time, so that a merge never has
+    more than ``slots * TREE`` values of a bucket, however many tasks there are.
+    Null and negative values are not counted.  Columns that are not in ``fields``
+    are not read, whatever their names.
     """
     cols = [F.when(valid(c), F.col(c).cast("long")).alias(f"__{i}") for i, c in enumerate(fields)]
-    return df.select(*cols).mapInArrow(_sketch(fields, buckets, slots, light, evict), "field string, heavy boolean, k long, n long").groupBy("field", "heavy", "k").agg(F.sum("n").alias("n"))
+    picked = df.select(*cols)
+    parts = picked.mapInArrow(_sketch(fields, buckets, slots, light, evict), _SLOT).withColumn("task", F.spark_partition_id().cast("long"))
+    tasks = picked.rdd.getNumPartitions()
+    while tasks > TREE:
+        parts, tasks = _recombined(parts, slots, TREE), -(-tasks // TREE)
+    return _recombined(parts, slots, TREE).drop("task")
 
 
-def frequent(df: DataFrame, fields: list[str], share: float, buckets: int = BUCKETS, slots: int = SLOTS, light: int = LIGHT, evict: int = EVICT) -> DataFrame:
+def frequent(df: DataFrame, fields: list[str], share: float, buckets: int = BUCKETS, slots: int = SLOTS, light: int = LIGHT, evict: int = EVICT, _parts: DataFrame | None = None) -> DataFrame:
     """``(field, vertex_id, estimate, total)`` of the values whose estimated count reaches ``share`` of the field's valid rows.
 
-    Estimates are never below the true count.  Ties at the share are in.  Of an
-    empty table, or one without valid values, the result is empty.
+    An estimate is what a value's slot holds and what its light counter does. It
+    is never below the true count, and above it by at most the counter, which is
+    on average the rows outside the slots divided by ``light``.  A value of the
+    share that has no slot, because more than ``slots`` such values share its
+    bucket, is not here (:func:`frequent_exact` finds it).  Ties at the share are
+    in.  Of an empty table, or one without valid values, the result is empty.
     """
-    s = Scratch(df.sparkSession, "heavy")
-    parts = s.table(heavy_light(df, fields, buckets, slots, light, evict))
+    parts = _parts if _parts is not None else Scratch(df.sparkSession, "heavy").table(heavy_light(df, fields, buckets, slots, light, evict))
     totals = parts.groupBy("field").agg(F.sum("n").alias("total"))
-    h = HeavyLight(buckets, slots, light, evict)
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = h.light_index(b.column("k").to_numpy())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], names=["field", "k", "n", "at"])
-
-    heavy = parts.filter("heavy").select("field", "k", "n").mapInArrow(index, "field string, k long, n long, at long")
-    rest = parts.filter("not heavy").select("field", F.col("k").alias("at"), F.col("n").alias("extra"))
-    est = heavy.join(rest, ["field", "at"], "left").select("field", F.col("k").alias("vertex_id"), (F.col("n") + F.coalesce("extra", F.lit(0))).alias("estimate"))
+    rest = parts.filter("bucket < 0").select("field", "at", F.col("n").alias("extra"))
+    est = parts.filter("bucket >= 0").join(rest, ["field", "at"], "left").select("field", F.col("k").alias("vertex_id"), (F.col("n") + F.coalesce("extra", F.lit(0))).alias("estimate"))
     return est.join(totals, "field").filter(F.col("estimate") >= F.lit(share) * F.col("total")).select("field", "vertex_id", "estimate", "total")
 
 
-def frequent_exact(df: DataFrame, fields: list[str], share: float) -> DataFrame:
+def frequent_exact(df: DataFrame, fields: list[str], share: float, buckets: int = BUCKETS, slots: int = SLOTS, light: int = LIGHT, evict: int = EVICT) -> DataFrame:
     """:func:`frequent` with true counts: ``(field, vertex_id, n, estimate, total)`` where ``n`` reaches the share.
 
-    The candidates number at most ``len(fields) / (share - noise)``, ``noise``
-    being a light counter's share of the rows, so they are broadcast; a second
-    pass counts them with partial sums.
+    A value of the share without a slot is wholly in its light counter, which
+    then holds the share too; there are at most ``1 / share`` such counters of a
+    field, and a second pass counts their values along with the candidates, with
+    partial sums.  So none is missed, however values fall into buckets.
     """
     s = Scratch(df.sparkSession, "heavy")
-    found = s.table(frequent(df, fields, share))
-    if s.seen["rows"] > 100 * len(fields) / share:
-        raise ValueError("too many candidates for this share: use more light counters")
-    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("long").alias("vertex_id")) for c in fields)))
-    counts = df.select(pairs.alias("p")).select("p.field", "p.vertex_id").join(F.broadcast(found), ["field", "vertex_id"])
+    parts = s.table(heavy_light(df, fields, buckets, slots, light, evict))
+    found = s.table(frequent(df, fields, share, _parts=parts))
+    few = s.seen["rows"] <= FEW
+    totals = parts.groupBy("field").agg(F.sum("n").alias("total"))
+    full = parts.filter("bucket < 0").join(totals, "field").filter(F.col("n") >= F.lit(share) * F.col("total"))
+    full = [(r.field, r.at, r.total) for r in full.select("field", "at", "total").collect()]
+    pairs = F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.when(valid(c), F.col(c).cast("long")).alias("vertex_id")) for c in fields)))
+    values = df.select(pairs.alias("p")).select("p.field", "p.vertex_id")
+    counts = values.join(F.broadcast(found) if few else found, ["field", "vertex_id"])
     counts = counts.groupBy("field", "vertex_id").agg(F.count(F.lit(1)).alias("n"), F.first("estimate").alias("estimate"), F.first("total").alias("total"))
+    if full:
+        cells = F.broadcast(df.sparkSession.createDataFrame(full, "field string, at long, total long"))
+        more = with_finaliser(values.filter("vertex_id is not null"), "vertex_id", "__h").withColumn("at", F.shiftrightunsigned("__h", 32) % light)
+        more = more.join(cells, ["field", "at"]).groupBy("field", "vertex_id").agg(F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
+        more = more.join(found, ["field", "vertex_id"], "left_anti").select("field", "vertex_id", "n", F.col("n").alias("estimate"), "total")
+        counts = counts.unionByName(more)
     return counts.filter(F.col("n") >= F.lit(share) * F.col("total"))

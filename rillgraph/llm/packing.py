@@ -12,8 +12,8 @@ All documents of a size and all containers of a gap are alike, so a match is
 made between *ranges* of ranks and of containers.  The sweep therefore needs the
 number of documents of each size only: at most ``capacity`` rows a pack,
 however many documents there are.  It runs as one task for each pack and gives
-some ``capacity * ln(capacity)`` ranges, which are broadcast (``MOST_RANGES``
-bounds them) to place every document by its size and rank.
+some ``capacity * ln(capacity)`` ranges, which are joined by size, broadcast up to
+``MOST_RANGES`` of them, and place every document by its rank.
 
 At scale: one pass to count tokens, a combining count by size, and one shuffle
 to rank documents within size and salt, with salts in proportion to the rows so
@@ -52,7 +52,7 @@ def sweep(capacity: int, sizes: list[tuple[int, int]]) -> tuple[list[tuple[int,
     opened = 0
 
     def put(gap: int, first: int, n: int) -> None:
-        if gap:
+        if gap and n:
             if not ranges[gap]:
                 bisect.insort(gaps, gap)
             ranges[gap].append((first, n))
@@ -129,13 +129,15 @@ def pack(items: DataFrame, packs: DataFrame, key: str = "doc_id", size: str = "t
     sizes = counts.filter("size > 0").groupBy("pack_name", "capacity", "size").agg(F.sum("n").alias("n"))
     found = sizes.groupBy("pack_name").applyInPandas(lambda g: next(_sweeps(iter([g]))), "pack_name string, size long, rank0 long, k long, container0 long, start long")
     found = s.table(found, most=F.max(F.col("container0") + F.col("k")))
-    if s.seen["rows"] > MOST_RANGES:
-        raise ValueError("the packs' capacities are too large for a sweep by size")
+    small = s.seen["rows"] <= MOST_RANGES
     open_ = {r[0]: r[1] for r in found.groupBy("pack_name").agg(F.max(F.col("container0") + F.col("k"))).collect()}
     by_rank = F.row_number().over(Window.partitionBy("pack_name", "size", "salt").orderBy("doc_id")) - 1
     ranked = parts.withColumn("r", by_rank).join(offsets, ["pack_name", "size", "salt"]).withColumn("rank", F.col("r") + F.col("before"))
-    ranges = F.broadcast(found)
-    shared = ranked.filter("size > 0").join(ranges, ["pack_name", "size"]).filter("rank >= rank0 and rank < rank0 + k")
+    # A size's ranges in the order of their ranks: the last one that begins at or below an item's rank has it.
+    ranges = found.groupBy("pack_name", "size").agg(F.sort_array(F.collect_list(F.struct("rank0", "container0", "start"))).alias("in"))  # ranges, not documents
+    shared = ranked.filter("size > 0").join(F.broadcast(ranges) if small else ranges, ["pack_name", "size"])
+    place = F.get("in", F.size(F.filter("in", lambda x: x["rank0"] <= F.col("rank"))) - 1)
+    shared = shared.withColumn("x", place).withColumn("rank0", F.col("x.rank0")).withColumn("container0", F.col("x.container0")).withColumn("start", F.col("x.start"))
     shared = shared.withColumn("container", (F.col("container0") + F.col("rank") - F.col("rank0")).cast("string"))
     n_open = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in open_.items() for x in kv)), F.col("pack_name")), F.lit(0)) if open_ else F.lit(0)
     nothing = ranked.filter("size = 0").withColumn("container", F.when(n_open > 0, F.pmod(F.col("rank"), n_open)).otherwise(0).cast("string"))

@@ -29,10 +29,11 @@ CACHE = 400_000
 
 
 def default_vocabulary() -> str:
-    """The installed public vocabulary, where there is one."""
+    """The file of the installed package of public vocabularies, where there is one; else a path must be given."""
     spec = importlib.util.find_spec("public_tokenizers")
-    folder = os.path.dirname(spec.origin) if spec and spec.origin else "/opt/tokenizers"
-    return os.path.join(folder, "byte_bpe_50k.tiktoken")
+    if spec is None or not spec.origin:
+        raise ValueError("give the path of a vocabulary")
+    return os.path.join(os.path.dirname(spec.origin), "byte_bpe_50k.tiktoken")
 
 
 class Counter:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from rillgraph.llm import groups, logs
 from rillgraph.llm.groups import link_groups
-from rillgraph.llm.heavy import HeavyLight, frequent_exact
+from rillgraph.llm.heavy import HeavyLight, frequent, frequent_exact
 from rillgraph.llm.logs import parse_logs
 from rillgraph.llm.mixing import mix
 from rillgraph.llm.packing import pack, sweep
@@ -148,6 +148,20 @@ def test_logs_need_their_ngrams(spark, monkeypatch):
     assert parsed(df) == {}
 
 
+def test_frequent_values_that_share_a_bucket(spark):
+    """More frequent values than a bucket has slots: the exact count still finds all."""
+    df = spark.createDataFrame([(i % 12,) for i in range(1200)] + [(1000 + i,) for i in range(300)], "v long").repartition(5)
+    found = frequent_exact(df, ["v"], 0.05, buckets=1, slots=2, light=64)
+    assert {r.vertex_id: r.n for r in found.collect()} == {i: 100 for i in range(12)}
+    estimates = {r.vertex_id: r.estimate for r in frequent(df, ["v"], 0.05, buckets=1, slots=2, light=64).collect()}
+    assert len(estimates) <= 2 and all(n >= 100 for n in estimates.values())
+    from rillgraph.llm.heavy import heavy_light
+
+    merged = heavy_light(df, ["v"], buckets=4, slots=2, light=64)
+    assert merged.filter("bucket >= 0").groupBy("bucket").count().filter("count > 2").isEmpty()
+    assert merged.agg(F.sum("n")).first()[0] == 1500
+
+
 def best_fit(capacity, sizes):
     gaps = []
     for s in sorted(sizes, reverse=True):
